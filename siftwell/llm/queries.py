@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import conversations as C
-from siftwell.llm import splitting
+from siftwell.llm import mixing, packing, splitting
 from siftwell.runtime import read
 
 
@@ -46,12 +46,36 @@ def p5_conversations(spark: SparkSession, d: str) -> DataFrame:
     return C.conversations(p5_turns(spark, d))
 
 
+def _limits(spark: SparkSession, d: str) -> list[tuple[str, int]]:
+    return sorted((r[0], int(r[1])) for r in read(spark, d, "pack_limits").collect())
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(read(spark, d, "documents"), "doc_id", "text", _limits(spark, d))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p6_containers(spark, d), _limits(spark, d))
+
+
+def p7_use_counts(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(read(spark, d, "documents"), "doc_id", "text", "source", read(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(read(spark, d, "documents"), "doc_id", "text", "source", read(spark, d, "mix_targets"))[1]
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_turns": p5_turns,
     "p5_conversations": p5_conversations,
+    "p6_containers": p6_containers,
+    "p6_fill": p6_fill,
+    "p7_use_counts": p7_use_counts,
+    "p7_shares": p7_shares,
 }
 
 _W = r"[ \t\r\n\f]"
