@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import conversations as C
-from siftwell.llm import mixing, packing, splitting
+from siftwell.llm import mixing, packing, spans, splitting
 from siftwell.runtime import read
 
 
@@ -66,6 +66,14 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(read(spark, d, "documents"), "doc_id", "text", "source", read(spark, d, "mix_targets"))[1]
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(read(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return spans.coverage(read(spark, d, "documents"), p8_found(spark, d), "doc_id", "text")
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
@@ -76,6 +84,8 @@ QUERIES = {
     "p6_fill": p6_fill,
     "p7_use_counts": p7_use_counts,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_coverage": p8_coverage,
 }
 
 _W = r"[ \t\r\n\f]"
@@ -117,7 +127,23 @@ cut AS (
 )
 SELECT section_id, CASE WHEN paragraph <= 2800 THEN 'paragraph' WHEN line <= 2800 THEN 'line'
   WHEN sentence <= 2800 THEN 'sentence' WHEN word <= 2800 THEN 'word' ELSE 'none' END AS boundary FROM longest"""
+_P8 = """
+WITH long AS (SELECT doc_id, text FROM documents WHERE length(text) >= 200),
+windows AS (SELECT doc_id, unnest(range(0, length(text) - 199)) AS s, text FROM long),
+hashed AS (SELECT doc_id, s, md5(substring(text, s + 1, 200)) AS h FROM windows),
+common AS (SELECT h FROM hashed GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+hits AS (SELECT doc_id, s FROM hashed JOIN common USING (h)),
+flagged AS (SELECT *, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 200 THEN 1 ELSE 0 END AS new FROM hits),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS nth FROM flagged)
+SELECT doc_id, min(s)::INT AS span_start, (max(s) + 200)::INT AS span_end FROM numbered GROUP BY doc_id, nth"""
+_P8_COVERAGE = f"""
+WITH spans AS ({_P8}), per AS (SELECT doc_id, sum(span_end - span_start)::BIGINT AS c, count(*) AS k FROM spans GROUP BY 1)
+SELECT doc_id, length(text)::INT AS n_chars, coalesce(c, 0) AS shared_chars, coalesce(k, 0) AS n_spans,
+  CASE WHEN length(text) > 0 THEN coalesce(c, 0) / length(text) WHEN length(text) = 0 THEN 0.0 END::DOUBLE AS shared_share
+FROM documents LEFT JOIN per USING (doc_id)"""
 SQL = {
+    "p8_found": _P8,
+    "p8_coverage": _P8_COVERAGE,
     "p4_found": _P4,
     "p5_found": f"{_P5} SELECT session_id, reason FROM dropped WHERE reason IS NOT NULL",
     "p5_turns": f"""{_P5} SELECT session_id, turn, speaker, content, created_at FROM ordered
