@@ -5,7 +5,8 @@ that length holds a whole block of either text. The blocks are the index; every
 of a block's size probes it. Windows go through a filter of bounded size made of all blocks
 before any of them is shuffled, and a hash met in two different texts, in one of them as a
 block, is an anchor. Around the anchors every stretch of the least length is compared by a
-128-bit hash, which extends them to the maximal repeats without ever pairing documents.
+128-bit hash, which extends them to the maximal repeats without ever pairing documents. Only
+texts that hold an anchor are read again.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from siftwell.operators.joins import lookup
 from siftwell.runtime import materialize
 
-#: Characters hashed at once, and the largest filter in bits (16 MB). A fuller filter lets more windows pass; the result stays the same.
-STRIP, MOST_BITS = 1 << 20, 1 << 27
+#: Characters hashed at once, and the largest filter in bits (64 MB). A fuller filter lets more windows pass; the result stays the same.
+STRIP, MOST_BITS = 1 << 20, 1 << 29
 #: Multipliers of the rolling hashes (any odd numbers).
 _SEEDS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
@@ -168,44 +169,46 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 200) -> DataFr
     def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Filter(index.value)
         for b in batches:
-            cls = b["_c1"].to_numpy()
+            cls, keys = b["_c1"].to_numpy(), b[key].to_numpy()
             for s in strips(b["_text"].tolist(), block):
                 h = s.hashes(slice(None), block)
-                hit = s.valid(block)
-                hit &= known.has(h)
-                at = np.flatnonzero(hit)
+                at = np.flatnonzero(s.valid(block) & known.has(h))
                 own = np.searchsorted(s.start, at, side="right") - 1
-                aligned = (s.offset[own] + at - s.start[own]) % block == 0
-                yield pd.DataFrame({"h": h[at].view(np.int64), "_c1": cls[s.owner[own]], "aligned": aligned})
+                place = s.offset[own] + at - s.start[own]
+                yield pd.DataFrame({"h": h[at].view(np.int64), "_c1": cls[s.owner[own]], key: keys[s.owner[own]], "at": place.astype(np.int32), "aligned": place % block == 0})
 
+    windows = materialize(docs.select(key, "_text", "_c1").mapInPandas(probes, f"h long, _c1 long, `{key}` {ktype}, at int, aligned boolean"))
     anchors = materialize(
-        docs.select("_text", "_c1")
-        .mapInPandas(probes, "h long, _c1 long, aligned boolean")
-        .groupBy("h")
-        .agg(F.min("_c1").alias("a"), F.max("_c1").alias("z"), F.max("aligned").alias("aligned"))
+        windows.groupBy("h")
+        .agg(F.min("_c1").alias("a"), F.max("_c1").alias("z"), F.max("aligned").alias("aligned"), F.count("*").alias("_n"))
         .where("a <> z and aligned")
-        .select("h")
+        .select("h", "_n")
     )
-    found = spark.sparkContext.broadcast(Filter.build(anchors, anchors.count()).words)
+    # the places of one document, so never more than it has characters
+    places = materialize(lookup(windows, anchors, ["h"], "_n").groupBy(key).agg(F.collect_set("at").alias("_places")))
+    holders = spark.sparkContext.broadcast(Filter.build(places.select(F.xxhash64(key).alias("h")), places.count()).words)
 
-    def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Filter(found.value)
+    def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Filter(holders.value)
         for b in batches:
-            cls, keys = b["_c1"].to_numpy(), b[key].to_numpy()
-            for s in strips(b["_text"].tolist(), least):
-                hit = s.valid(block) & known.has(s.hashes(slice(None), block))
-                # a stretch is a candidate if an anchor lies in it: at most least - block after its start
-                reach = np.concatenate([[0], np.cumsum(hit)])
-                ok = s.valid(least)
-                at = np.flatnonzero(ok)
-                at = at[reach[np.minimum(at + least - block + 1, len(hit))] > reach[at]]
-                own = np.searchsorted(s.start, at, side="right") - 1
-                out = pd.DataFrame({"h1": s.hashes(at, least, _SEEDS[0]).view(np.int64), "h2": s.hashes(at, least, _SEEDS[1]).view(np.int64), "_c1": cls[s.owner[own]]})
-                out[key] = keys[s.owner[own]]
-                out["at"] = (s.offset[own] + at - s.start[own]).astype(np.int32)
-                yield out
+            yield b[known.has(b["h"].to_numpy().view(np.uint64))].drop(columns="h")
 
-    rows = materialize(docs.select(key, "_text", "_c1").mapInPandas(stretches, f"h1 long, h2 long, _c1 long, `{key}` {ktype}, at int"))
+    def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k, c, t, at in zip(b[key], b["_c1"], b["_text"], b["_places"]):
+                # an anchor lies in the stretches that start at most least - block before it
+                edge = np.zeros(len(t) + 2, dtype=np.int32)
+                np.add.at(edge, np.maximum(0, at - (least - block)), 1)
+                np.add.at(edge, np.minimum(at + 1, len(t)), -1)
+                near = np.cumsum(edge)[: len(t) - least + 1] > 0
+                for s in strips([t], least):
+                    i = np.flatnonzero(near[s.offset[0] : s.offset[0] + s.length[0] - least + 1])
+                    out = pd.DataFrame({"h1": s.hashes(i, least, _SEEDS[0]).view(np.int64), "h2": s.hashes(i, least, _SEEDS[1]).view(np.int64)})
+                    out["_c1"], out[key], out["at"] = c, k, (i + s.offset[0]).astype(np.int32)
+                    yield out
+
+    held = docs.select(key, "_text", "_c1", F.xxhash64(key).alias("h")).mapInPandas(hold, f"`{key}` {ktype}, _text string, _c1 long")
+    rows = materialize(held.join(places, key).mapInPandas(stretches, f"h1 long, h2 long, _c1 long, `{key}` {ktype}, at int"))
     common = materialize(
         rows.groupBy("h1", "h2").agg(F.min("_c1").alias("a"), F.max("_c1").alias("z"), F.count("*").alias("_n")).where("a <> z").select("h1", "h2", "_n")
     )
