@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.operators.joins import lookup
@@ -28,7 +28,7 @@ from siftwell.runtime import materialize
 #: Generator polynomial of the code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
 #: Segments of a fingerprint, and words on either side of the anchor that a segment covers.
-SEGMENTS, AROUND = 12, 5
+SEGMENTS, AROUND = 12, 2
 #: Words hashed at once.
 STRIP = 1 << 19
 _WORD = re.compile(r"[^\W_]+")
@@ -135,3 +135,206 @@ class Shingles:
 
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
+
+
+#: A key met by more records than BUCKET is left to the prefix filter; one that holds over HOT_SHARE of the
+#: records of any strip, and over 1/HOT_KEYS of all, is taken out before anything is shuffled.
+BUCKET, HOT_SHARE, HOT_KEYS = 200, 0.02, 500
+#: Sets that a task remembers, so that copies among them send no keys.
+REMEMBERED = 1 << 20
+
+
+def _strips(ids: list, texts: list[str], least: int) -> Iterator[tuple[list, list[list[str]]]]:
+    """Records of at least ``least`` words, in strips of about STRIP words."""
+    held_ids, held, n = [], [], 0
+    for i, t in zip(ids, texts):
+        w = words(t)
+        if len(w) < least:
+            continue
+        held_ids.append(i)
+        held.append(w)
+        n += len(w)
+        if n >= STRIP:
+            yield held_ids, held
+            held_ids, held, n = [], [], 0
+    if held:
+        yield held_ids, held
+
+
+def sketches(records: DataFrame, width: int, least: int, anchor: int) -> DataFrame:
+    """id, c1, c2 (128 bits of the record's shingle set), n (its size), keys (null for copies that the task met before).
+
+    Rows without an id carry a key in c1 that is hot in one strip and its count there in c2.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for b in batches:
+            for ids, texts in _strips(b["id"].tolist(), b["text"].tolist(), least):
+                sh = Shingles(texts, width)
+                c1, c2 = sh.digest()
+                owner, base, bits = Shingles(texts, anchor).segments(SEGMENTS, AROUND, anchor)
+                nth, code = keys(bits)
+                key = mix(base[nth] * np.uint64(4096) + code.astype(np.uint64), 5).view(np.int64)
+                ends = np.searchsorted(owner[nth], np.arange(len(ids) + 1))
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                sent = []
+                for i, c in enumerate(c1.tolist()):
+                    sent.append(None if c in seen else key[ends[i] : ends[i + 1]])
+                    seen.add(c)
+                yield pd.DataFrame({"id": ids, "c1": c1, "c2": c2, "n": sh.count.astype(np.int32), "keys": sent})
+                value, count = np.unique(key, return_counts=True)
+                hot = count > max(20, HOT_SHARE * len(ids))
+                yield pd.DataFrame({"id": None, "c1": value[hot], "c2": count[hot], "n": 0, "keys": None})
+
+    return records.mapInPandas(run, f"id {records.schema['id'].dataType.simpleString()}, c1 long, c2 long, n int, keys array<long>")
+
+
+def _meetings(threshold: float, most: int):
+    """Pairs of different sets that meet in a key, from rows sorted by key; sets of keys with more than ``most`` rows come with a null."""
+
+    def pairs(k: np.ndarray, c: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
+        start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        size = np.diff(np.concatenate([start, [len(k)]]))
+        big = np.repeat(size > most, size)
+        yield pd.DataFrame({"a": c[big], "b": pd.array([None] * int(big.sum()), dtype="Int64")})
+        k, c, n = k[~big], c[~big], n[~big]
+        d = 1
+        while d < len(k):
+            same = np.flatnonzero(k[d:] == k[:-d])
+            if not len(same):
+                break
+            x, y = same, same + d
+            ok = (c[x] != c[y]) & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]))
+            x, y = x[ok], y[ok]
+            yield pd.DataFrame({"a": np.minimum(c[x], c[y]), "b": pd.array(np.maximum(c[x], c[y]), dtype="Int64")})
+            d += 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
+        for b in batches:
+            if not len(b):
+                continue
+            k, c, n = (np.concatenate([h, b[col].to_numpy()]) for h, col in zip(held, ("key", "c1", "n")))
+            cut = int(np.searchsorted(k, k[-1]))  # the last key may go on in the next batch
+            if cut:
+                yield from pairs(k[:cut], c[:cut], n[:cut])
+            held = [k[cut:], c[cut:], n[cut:]]
+            if len(held[0]) > 4 * most:  # a hot key: all but enough of it to stay hot can go
+                over = held[1][2 * most :]
+                yield pd.DataFrame({"a": over, "b": pd.array([None] * len(over), dtype="Int64")})
+                held = [h[: 2 * most] for h in held]
+        if len(held[0]):
+            yield from pairs(*held)
+
+    return run
+
+
+def shingle_sets(records: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """id, set of shingle hashes of the records whose id is in ``ids`` (a stored table).
+
+    The records are thinned by a filter of bounded size before they are joined.
+    """
+    from siftwell.llm.spans import Filter
+
+    wanted = records.sparkSession.sparkContext.broadcast(Filter.build(ids.select(F.xxhash64("id").alias("h")), ids.count()).words)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Filter(wanted.value)
+        for b in batches:
+            b = b[known.has(b["h"].to_numpy().view(np.uint64))]
+            for some, texts in _strips(b["id"].tolist(), b["text"].tolist(), width):
+                s = Shingles(texts, width)
+                h = s.hash.view(np.int64)
+                yield pd.DataFrame({"id": some, "shingles": [h[f : f + c] for f, c in zip(s.first, s.count)]})
+
+    kind = records.schema["id"].dataType.simpleString()
+    sets = records.withColumn("h", F.xxhash64("id")).mapInPandas(run, f"id {kind}, shingles array<long>")
+    return sets.join(ids, "id").dropDuplicates(["id", "c1"])
+
+
+def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """Every pair of sets that may reach ``threshold``: those that share one of the rarest shingles of both.
+
+    A set of n needs n - ceil(threshold n) + 1 of its shingles in the common order to meet every set
+    it is that similar to. Rarest first leaves passages that many records hold out of the join.
+    """
+    each = sets.select("c1", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    rare = materialize(each.groupBy("s").agg(F.count("*").alias("_n")))
+    ranked = (
+        lookup(each, rare.withColumn("f", F.col("_n")), ["s"], "_n")
+        .groupBy("c1", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("o"))
+        .select("c1", "n", F.explode(F.expr(f"slice(o, 1, n - cast(ceil({threshold} * n - 1e-9) as int) + 1)")).alias("x"))
+        .select("c1", "n", F.col("x.s").alias("s"))
+    )
+    ranked = materialize(ranked)
+    x, y = ranked.alias("x"), ranked.alias("y")
+    return (
+        x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.c1") < F.col("y.c1")))
+        .where(F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n"))
+        .select(F.col("x.c1").alias("a"), F.col("y.c1").alias("b"))
+        .distinct()
+    )
+
+
+def near_duplicates(
+    records: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, least: int = 30, anchor: int = 5
+) -> tuple[DataFrame, DataFrame]:
+    """Members (id, class_id) and pairs of classes (a, b, similarity) whose similarity reaches ``threshold``.
+
+    Similarity is the number of distinct runs of ``width`` words found in both records, divided by the
+    number found in either; words are the longest runs of letters or digits of the lower-cased text.
+    Records of fewer than ``least`` words are left aside, as are null texts and null ids. Records with
+    the same set of shingles are one class, named by its least id; pairs are between classes, a < b, and
+    are not expanded to the copies. Repeated rows count once; whole texts are compared. An empty table
+    gives empty results.
+    """
+    if least < max(width, anchor):
+        raise ValueError("least must be at least width and anchor")
+    spark = records.sparkSession
+    rec = records.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    rows = materialize(sketches(rec, width, least, anchor))
+    ids = rows.where("id is not null")
+    classes = materialize(ids.groupBy("c1", "c2", "n").agg(F.min("id").alias("class_id"), F.count("*").alias("_n")))
+    n_records = classes.agg(F.sum("_n")).first()[0] or 0
+    hot = materialize(
+        rows.where("id is null").groupBy(F.col("c1").alias("key")).agg(F.sum("c2").alias("k")).where(F.col("k") * HOT_KEYS > n_records).where(F.col("k") > BUCKET).select("key")
+    )  # at most SEGMENTS * 6 * HOT_KEYS keys
+    flat = ids.where("keys is not null").select(F.explode("keys").alias("key"), "c1", "n")
+    met = materialize(
+        flat.join(F.broadcast(hot), "key", "left_anti").repartition("key").sortWithinPartitions("key", "c1").mapInPandas(_meetings(threshold, BUCKET), "a long, b long")
+    )
+    crowded = materialize(
+        met.where("b is null").select(F.col("a").alias("c1")).unionByName(flat.join(F.broadcast(hot), "key").select("c1")).distinct()
+    )
+    pairs = met.where("b is not null").distinct()
+    if not crowded.isEmpty():
+        some = materialize(classes.join(crowded, "c1").select(F.col("class_id").alias("id"), "c1", "c2"))
+        pairs = pairs.unionByName(_prefix_pairs(shingle_sets(rec, some, width), threshold)).distinct()
+    pairs = materialize(pairs)
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("c1")).distinct()
+    some = materialize(classes.join(involved, "c1").select(F.col("class_id").alias("id"), "c1", "c2"))
+    sets = materialize(shingle_sets(rec, some, width).select("c1", "id", "shingles"))
+    both = F.size(F.array_intersect("x", "y"))
+    verified = (
+        pairs.join(sets.select(F.col("c1").alias("a"), F.col("id").alias("a_id"), F.col("shingles").alias("x")), "a")
+        .join(sets.select(F.col("c1").alias("b"), F.col("id").alias("b_id"), F.col("shingles").alias("y")), "b")
+        .select("a_id", "b_id", (both / (F.size("x") + F.size("y") - both)).alias("similarity"))
+        .where(F.col("similarity") >= threshold)
+        .select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "similarity")
+        .distinct()
+    )
+    named = lookup(ids.select("id", "c1", "c2", "n"), classes, ["c1", "c2", "n"], "_n")
+    return named.select("id", "class_id").distinct(), verified
+
+
+def expand(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs of records (a_id < b_id): those of one class and those of classes that form a pair."""
+    members, pairs = materialize(members), materialize(pairs.select("a", "b"))
+    x = members.select(F.col("id").alias("x"), F.col("class_id").alias("a"))
+    y = members.select(F.col("id").alias("y"), F.col("class_id").alias("b"))
+    within = x.join(y, F.col("a") == F.col("b")).where("x < y").select("x", "y")
+    across = pairs.join(x, "a").join(y, "b").where("x <> y").select("x", "y")
+    return within.unionByName(across).select(F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id")).distinct()

@@ -6,8 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import conversations as C
-from siftwell.llm import mixing, packing, spans, splitting
-from siftwell.runtime import read
+from siftwell.llm import golay, mixing, packing, spans, splitting
+from siftwell.operators.components import components
+from siftwell.runtime import materialize, read
+
+
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    a = read(spark, d, "markdown_sections").select("id", F.col("content").alias("text"))
+    b = read(spark, d, "pdf_documents").select("id", F.col("full_text").alias("text"))
+    return golay.near_duplicates(a.unionByName(b), "id", "text", width=3, threshold=0.7, least=30)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return golay.expand(*_near(spark, d))
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row per record: its class of equal shingle sets, the links of that class, and the group that links join."""
+    members, pairs = _near(spark, d)
+    pairs = materialize(pairs)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    groups = components(pairs, "a", "b").toDF("class_id", "group_id")
+    return (
+        members.join(links, "class_id", "left")
+        .join(groups, "class_id", "left")
+        .select("id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"))
+    )
 
 
 def _split_source(spark: SparkSession, d: str) -> DataFrame:
@@ -75,6 +99,8 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
@@ -141,7 +167,15 @@ WITH spans AS ({_P8}), per AS (SELECT doc_id, sum(span_end - span_start)::BIGINT
 SELECT doc_id, length(text)::INT AS n_chars, coalesce(c, 0) AS shared_chars, coalesce(k, 0) AS n_spans,
   CASE WHEN length(text) > 0 THEN coalesce(c, 0) / length(text) WHEN length(text) = 0 THEN 0.0 END::DOUBLE AS shared_share
 FROM documents LEFT JOIN per USING (doc_id)"""
+_P1 = """
+WITH pool AS (SELECT id, content AS t FROM markdown_sections UNION SELECT id, full_text FROM pdf_documents),
+w AS (SELECT id, regexp_extract_all(lower(t), '[\\p{L}\\p{N}]+') AS w FROM pool WHERE t IS NOT NULL),
+s AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 30),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+c AS (SELECT x.id AS a_id, y.id AS b_id, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2)
+SELECT a_id, b_id FROM c JOIN n x ON a_id = x.id JOIN n y ON b_id = y.id WHERE c >= 0.7 * (x.n + y.n - c)"""
 SQL = {
+    "p1_found": _P1,
     "p8_found": _P8,
     "p8_coverage": _P8_COVERAGE,
     "p4_found": _P4,
