@@ -13,6 +13,7 @@ Pairs that meet are verified by their sets of shingles.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -27,11 +28,13 @@ from siftwell.runtime import materialize
 
 #: Generator polynomial of the code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
-#: Segments of a fingerprint, and words on either side of the anchor that a segment covers.
-SEGMENTS, AROUND = 12, 2
+#: Segments of a fingerprint, words of an anchor, words on either side of the anchor that a segment covers, anchors at
+#: which a pair has to meet (1 or 2).
+SEGMENTS, ANCHOR, AROUND, MEETINGS = 12, 6, 2, 2
 #: Words hashed at once.
 STRIP = 1 << 19
 _WORD = re.compile(r"[^\W_]+")
+_LOW = np.uint64((1 << 44) - 1)
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7], dtype=np.uint64)
 
 
@@ -85,53 +88,78 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
-class Shingles:
-    """Distinct shingles of records: hash, owner and first place, sorted by owner and hash."""
+class Words:
+    """Word hashes of records end to end, and their shingles. Shingle hashes have 44 bits, so that owner and hash sort as one number."""
 
-    def __init__(self, texts: list[list[str]], width: int) -> None:
+    def __init__(self, texts: list[list[str]]) -> None:
         if len(_hashes) > 1 << 20:
             _hashes.clear()
-        flat = [w for t in texts for w in t]
         self.length = np.fromiter(map(len, texts), np.int64, len(texts))
         self.start = np.cumsum(self.length) - self.length
-        self.words = np.fromiter(map(_hashes.__getitem__, flat), np.uint64, len(flat))
+        flat = itertools.chain.from_iterable(texts)
+        self.hash = np.fromiter(map(_hashes.__getitem__, flat), np.uint64, int(self.length.sum()))
+
+    def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Owner << 44 | hash of each run of ``width`` words, and its place."""
         n = np.maximum(0, self.length - width + 1)
-        owner = np.repeat(np.arange(len(texts)), n)
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + self.start[owner]
-        h = np.zeros(len(at), dtype=np.uint64)
-        for k in range(width):
-            h = mix(h * _MIX[5] + self.words[at + k], 2)
-        o = np.lexsort((h, owner))
-        h, owner, at = h[o], owner[o], at[o]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-        self.hash, self.owner, self.at = h[new], owner[new], at[new]
-        self.count = np.bincount(self.owner, minlength=len(texts))
+        owner = np.repeat(np.arange(len(n)), n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - self.start, n)
+        h = self.hash[at] * _MIX[5]
+        for k in range(1, width):
+            h = (h ^ (h >> np.uint64(32))) * _MIX[0] + self.hash[at + k] * _MIX[5]
+        return (owner.astype(np.uint64) << np.uint64(44)) | (mix(h, 2) >> np.uint64(20)), at
+
+    def segments(self, most: int = SEGMENTS, around: int = AROUND, width: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Owner, anchor and 23 bits of each fingerprint segment: of the ``most`` least shingle hashes of each record."""
+        code, at = self.shingles(width)
+        owner = (code >> np.uint64(44)).astype(np.int64)
+        size = np.bincount(owner, minlength=len(self.length))
+        # hashes are even, so that a low enough part of them holds the least ones; records for which it doesn't are taken whole
+        limit = np.minimum(1.0, 4 * most / np.maximum(1, size)) * float(1 << 44)
+        low = (code & _LOW) <= limit.astype(np.uint64)[owner]
+        while True:
+            c, p = code[low], at[low]
+            o = np.argsort(c, kind="stable")
+            c, p = c[o], p[o]
+            new = np.concatenate([[True], c[1:] != c[:-1]])[: len(c)]
+            c, p = c[new], p[new]
+            own = (c >> np.uint64(44)).astype(np.int64)
+            count = np.bincount(own, minlength=len(size))
+            short = (count < most) & (np.bincount(owner[low], minlength=len(size)) < size)
+            if not short.any():
+                break
+            low |= short[owner]
+        rank = np.arange(len(c)) - (np.cumsum(count) - count)[own]
+        c, p, own = c[rank < most], p[rank < most], own[rank < most]
+        votes = np.zeros((len(c), 23), dtype=np.int8)
+        lo, hi = self.start[own], self.start[own] + self.length[own]
+        bits = np.arange(23, dtype=np.uint64)[None, :]
+        for k in range(-around, width + around):
+            q = p + k
+            ok = (q >= lo) & (q < hi)
+            w = mix(self.hash[np.where(ok, q, 0)], 1)
+            votes += np.where(ok[:, None], ((w[:, None] >> bits) & np.uint64(1)).astype(np.int8) * 2 - 1, 0).astype(np.int8)
+        return own, c & _LOW, (votes > 0) @ (1 << np.arange(23))
+
+
+class Sets:
+    """Distinct shingle hashes of records, sorted by owner and hash."""
+
+    def __init__(self, words: Words, width: int) -> None:
+        c = np.sort(words.shingles(width)[0])
+        c = c[np.concatenate([[True], c[1:] != c[:-1]])[: len(c)]]
+        self.hash = c & _LOW
+        self.count = np.bincount((c >> np.uint64(44)).astype(np.int64), minlength=len(words.length))
         self.first = np.cumsum(self.count) - self.count
 
     def digest(self) -> tuple[np.ndarray, np.ndarray]:
         """128 bits that stand for each record's set."""
         out = []
         for m in (3, 4):
-            c = np.concatenate([[np.uint64(0)], np.cumsum(mix(self.hash, m))])
+            c = np.concatenate([[np.uint64(0)], np.cumsum(mix(self.hash + np.uint64(1), m))])
             out.append((c[self.first + self.count] - c[self.first]).view(np.int64))
         return out[0], out[1]
 
-    def segments(self, most: int, around: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Owner, anchor and 23 bits of each fingerprint segment."""
-        rank = np.arange(len(self.hash)) - self.first[self.owner]
-        pick = np.flatnonzero(rank < most)
-        owner, at = self.owner[pick], self.at[pick]
-        votes = np.zeros((len(pick), 23), dtype=np.int8)
-        lo, hi = self.start[owner], self.start[owner] + self.length[owner]
-        bits = np.arange(23, dtype=np.uint64)[None, :]
-        for k in range(-around, width + around):
-            p = at + k
-            ok = (p >= lo) & (p < hi)
-            w = mix(self.words[np.where(ok, p, 0)], 1)
-            votes += np.where(ok[:, None], ((w[:, None] >> bits) & np.uint64(1)).astype(np.int8) * 2 - 1, 0).astype(np.int8)
-        return owner, self.hash[pick], (votes > 0) @ (1 << np.arange(23))
-
 
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
@@ -161,7 +189,7 @@ def _strips(ids: list, texts: list[str], least: int) -> Iterator[tuple[list, lis
         yield held_ids, held
 
 
-def sketches(records: DataFrame, width: int, least: int, anchor: int) -> DataFrame:
+def sketches(records: DataFrame, width: int, least: int) -> DataFrame:
     """id, c1, c2 (128 bits of the record's shingle set), n (its size), keys (null for copies that the task met before).
 
     Rows without an id carry a key in c1 that is hot in one strip and its count there in c2.
@@ -171,11 +199,14 @@ def sketches(records: DataFrame, width: int, least: int, anchor: int) -> DataFra
         seen: set[int] = set()
         for b in batches:
             for ids, texts in _strips(b["id"].tolist(), b["text"].tolist(), least):
-                sh = Shingles(texts, width)
+                w = Words(texts)
+                sh = Sets(w, width)
                 c1, c2 = sh.digest()
-                owner, base, bits = Shingles(texts, anchor).segments(SEGMENTS, AROUND, anchor)
+                owner, base, bits = w.segments()
                 nth, code = keys(bits)
-                key = mix(base[nth] * np.uint64(4096) + code.astype(np.uint64), 5).view(np.int64)
+                # the low 16 bits are the anchor's, so that meetings at different anchors can be told apart
+                key = mix((base[nth] << np.uint64(12)) | code.astype(np.uint64), 5) & ~np.uint64(0xFFFF) | (mix(base[nth], 1) & np.uint64(0xFFFF))
+                key = key.view(np.int64)
                 ends = np.searchsorted(owner[nth], np.arange(len(ids) + 1))
                 if len(seen) > REMEMBERED:
                     seen.clear()
@@ -198,7 +229,7 @@ def _meetings(threshold: float, most: int):
         start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         size = np.diff(np.concatenate([start, [len(k)]]))
         big = np.repeat(size > most, size)
-        yield pd.DataFrame({"a": c[big], "b": pd.array([None] * int(big.sum()), dtype="Int64")})
+        yield pd.DataFrame({"a": c[big], "b": pd.array([None] * int(big.sum()), dtype="Int64"), "tag": 0})
         k, c, n = k[~big], c[~big], n[~big]
         d = 1
         while d < len(k):
@@ -208,7 +239,7 @@ def _meetings(threshold: float, most: int):
             x, y = same, same + d
             ok = (c[x] != c[y]) & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]))
             x, y = x[ok], y[ok]
-            yield pd.DataFrame({"a": np.minimum(c[x], c[y]), "b": pd.array(np.maximum(c[x], c[y]), dtype="Int64")})
+            yield pd.DataFrame({"a": np.minimum(c[x], c[y]), "b": pd.array(np.maximum(c[x], c[y]), dtype="Int64"), "tag": (k[x] & 0xFFFF).astype(np.int32)})
             d += 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,7 +254,7 @@ def _meetings(threshold: float, most: int):
             held = [k[cut:], c[cut:], n[cut:]]
             if len(held[0]) > 4 * most:  # a hot key: all but enough of it to stay hot can go
                 over = held[1][2 * most :]
-                yield pd.DataFrame({"a": over, "b": pd.array([None] * len(over), dtype="Int64")})
+                yield pd.DataFrame({"a": over, "b": pd.array([None] * len(over), dtype="Int64"), "tag": 0})
                 held = [h[: 2 * most] for h in held]
         if len(held[0]):
             yield from pairs(*held)
@@ -245,7 +276,7 @@ def shingle_sets(records: DataFrame, ids: DataFrame, width: int) -> DataFrame:
         for b in batches:
             b = b[known.has(b["h"].to_numpy().view(np.uint64))]
             for some, texts in _strips(b["id"].tolist(), b["text"].tolist(), width):
-                s = Shingles(texts, width)
+                s = Sets(Words(texts), width)
                 h = s.hash.view(np.int64)
                 yield pd.DataFrame({"id": some, "shingles": [h[f : f + c] for f, c in zip(s.first, s.count)]})
 
@@ -280,7 +311,7 @@ def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def near_duplicates(
-    records: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, least: int = 30, anchor: int = 5
+    records: DataFrame, key: str, text: str, width: int = 5, threshold: float = 0.8, least: int = 30
 ) -> tuple[DataFrame, DataFrame]:
     """Members (id, class_id) and pairs of classes (a, b, similarity) whose similarity reaches ``threshold``.
 
@@ -291,11 +322,11 @@ def near_duplicates(
     are not expanded to the copies. Repeated rows count once; whole texts are compared. An empty table
     gives empty results.
     """
-    if least < max(width, anchor):
-        raise ValueError("least must be at least width and anchor")
+    if least < max(width, ANCHOR):
+        raise ValueError(f"least must be at least width and {ANCHOR}")
     spark = records.sparkSession
     rec = records.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    rows = materialize(sketches(rec, width, least, anchor))
+    rows = materialize(sketches(rec, width, least))
     ids = rows.where("id is not null")
     classes = materialize(ids.groupBy("c1", "c2", "n").agg(F.min("id").alias("class_id"), F.count("*").alias("_n")))
     n_records = classes.agg(F.sum("_n")).first()[0] or 0
@@ -304,12 +335,13 @@ def near_duplicates(
     )  # at most SEGMENTS * 6 * HOT_KEYS keys
     flat = ids.where("keys is not null").select(F.explode("keys").alias("key"), "c1", "n")
     met = materialize(
-        flat.join(F.broadcast(hot), "key", "left_anti").repartition("key").sortWithinPartitions("key", "c1").mapInPandas(_meetings(threshold, BUCKET), "a long, b long")
+        flat.join(F.broadcast(hot), "key", "left_anti").repartition("key").sortWithinPartitions("key", "c1").mapInPandas(_meetings(threshold, BUCKET), "a long, b long, tag int")
     )
     crowded = materialize(
         met.where("b is null").select(F.col("a").alias("c1")).unionByName(flat.join(F.broadcast(hot), "key").select("c1")).distinct()
     )
-    pairs = met.where("b is not null").distinct()
+    often = [F.min("tag").alias("t"), F.max("tag").alias("u")]
+    pairs = met.where("b is not null").groupBy("a", "b").agg(*often).where(F.lit(MEETINGS < 2) | (F.col("t") != F.col("u"))).select("a", "b")
     if not crowded.isEmpty():
         some = materialize(classes.join(crowded, "c1").select(F.col("class_id").alias("id"), "c1", "c2"))
         pairs = pairs.unionByName(_prefix_pairs(shingle_sets(rec, some, width), threshold)).distinct()
