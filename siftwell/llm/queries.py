@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import conversations as C
-from siftwell.llm import golay, mixing, packing, spans, splitting
+from siftwell.llm import golay, mixing, packing, spans, splitting, vptree
 from siftwell.operators.components import components
 from siftwell.runtime import materialize, read
 
@@ -34,6 +34,29 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    v = read(spark, d, "vectors").select(
+        F.col("model_id").alias("collection"),
+        F.concat("entity_id", F.lit("#"), F.col("chunk_index").cast("string")).alias("key"),
+        F.col("embedding").cast("array<double>").alias("vector"),
+    )
+    r = read(spark, d, "reflections").select(
+        F.lit("reflections").alias("collection"), F.col("id").alias("key"), vptree.parse_json(F.col("embedding_json")).alias("vector")
+    )
+    return vptree.usable(v.where(F.col("collection").isNotNull()).unionByName(r), "vector")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = vptree.neighbours(_vectors(spark, d), k=10, least=0.9)
+    return found.select("collection", F.least("key", "other").alias("a_key"), F.greatest("key", "other").alias("b_key")).distinct()
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar others, whatever their cosine, of every key whose hash is divisible by 50."""
+    asks = F.pmod(F.xxhash64("key"), F.lit(50)) == 0
+    return vptree.neighbours(_vectors(spark, d), k=10, relax=0.5, queries=asks)
+
+
 def _split_source(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "markdown_sections").select(F.col("id").alias("section_id"), "content", "start_line")
 
@@ -101,6 +124,8 @@ def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
+    "p3_found": p3_found,
+    "p3_neighbours": p3_neighbours,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
@@ -174,7 +199,22 @@ s AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i:
 n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
 c AS (SELECT x.id AS a_id, y.id AS b_id, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2)
 SELECT a_id, b_id FROM c JOIN n x ON a_id = x.id JOIN n y ON b_id = y.id WHERE c >= 0.7 * (x.n + y.n - c)"""
+_P3 = """
+WITH raw AS (
+  SELECT model_id AS collection, entity_id || '#' || chunk_index AS key, embedding::DOUBLE[] AS v FROM vectors WHERE model_id IS NOT NULL
+  UNION ALL SELECT 'reflections', id, TRY_CAST(embedding_json AS JSON)::DOUBLE[] FROM reflections
+    WHERE json_valid(embedding_json) AND json_type(embedding_json) = 'ARRAY'
+), usual AS (
+  SELECT collection, arg_max(n, (k, -n)) AS n FROM (SELECT collection, len(v) AS n, count(*) AS k FROM raw WHERE len(v) > 0 GROUP BY 1, 2) GROUP BY 1
+), good AS (
+  SELECT DISTINCT ON (collection, key) collection, key, v FROM raw JOIN usual USING (collection)
+  WHERE len(v) = n AND len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = n AND len(list_filter(v, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT x.collection, x.key AS a, y.key AS b, list_cosine_similarity(x.v, y.v) AS c FROM good x JOIN good y ON x.collection = y.collection AND x.key <> y.key
+), near AS (SELECT * FROM pairs WHERE c >= 0.9 QUALIFY row_number() OVER (PARTITION BY collection, a ORDER BY c DESC, b) <= 10)
+SELECT DISTINCT collection, least(a, b) AS a_key, greatest(a, b) AS b_key FROM near"""
 SQL = {
+    "p3_found": _P3,
     "p1_found": _P1,
     "p8_found": _P8,
     "p8_coverage": _P8_COVERAGE,
