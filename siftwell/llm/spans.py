@@ -89,14 +89,14 @@ def strips(texts: list[str], width: int) -> Iterator[Strip]:
 
 
 class Filter:
-    """Set of 64-bit hashes with false positives: four bits of one 64-bit word each."""
+    """Set of 64-bit hashes with false positives: four bits of one 64-bit word each, 32 bits or more per hash up to the bound."""
 
     def __init__(self, words: np.ndarray) -> None:
         self.words = words
 
     @staticmethod
     def bits(n_hashes: int) -> int:
-        return min(MOST_BITS, max(1 << 12, 1 << int(np.ceil(np.log2(16 * max(1, n_hashes))))))
+        return min(MOST_BITS, max(1 << 12, 1 << int(np.ceil(np.log2(32 * max(1, n_hashes))))))
 
     @staticmethod
     def place(h: np.ndarray, n_words: int) -> np.ndarray:
