@@ -117,6 +117,10 @@ def _unit(v: pd.Series) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _stack(units: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(units), np.float32).reshape(len(units), -1)
+
+
 def _search(x: np.ndarray, cx: np.ndarray, q: np.ndarray, cq: np.ndarray, reach: np.ndarray, k: int, least: float) -> tuple[np.ndarray, ...]:
     """Up to ``k`` most similar rows of ``x`` for each of ``q``: (query, row, cosine). Equal codes are the row itself.
 
@@ -158,8 +162,8 @@ def _search(x: np.ndarray, cx: np.ndarray, q: np.ndarray, cq: np.ndarray, reach:
 def neighbours(df: DataFrame, k: int = 10, least: float = -1.0, relax: float = 0.3, queries: Column | None = None) -> DataFrame:
     """Up to ``k`` most similar others for each vector of the same collection.
 
-    ``df``: collection, key, vector (usable ones; repeated rows of a key count once; null keys are left
-    out). Returns collection, key, other, cosine, rank; ties go to the lesser key, but at the last place
+    ``df``: collection, key, vector (usable ones; repeated rows of a key, taken to be equal, count once;
+    null keys are left out). Returns collection, key, other, cosine, rank; ties go to the lesser key, but at the last place
     any of equal cosines may stand. ``least`` is the least cosine of interest and sets the radius of
     the search; where it is below 0.5 the distance to the (k + 1)th nearest row of the sample bounds the
     radius too, as the kth nearest of all rows can't be farther. ``queries`` picks the rows to search
@@ -173,15 +177,23 @@ def neighbours(df: DataFrame, k: int = 10, least: float = -1.0, relax: float = 0
     spark = df.sparkSession
     kind = df.schema["key"].dataType.simpleString()
     asked = queries if queries is not None else F.lit(True)
-    rows = df.where(F.col("key").isNotNull()).select("collection", "key", "vector", asked.alias("asks"), F.xxhash64("key").alias("code"))
-    rows = materialize(rows.dropDuplicates(["collection", "key"]))
+    named = df.where(F.col("key").isNotNull()).select("collection", "key", asked.alias("asks"), F.xxhash64("key").alias("code"), "vector")
+
+    def unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for _, g in b.groupby("collection", sort=False):
+                x = _unit(g.pop("vector"))
+                g["unit"] = [u.tobytes() for u in x]
+                yield g
+
+    rows = materialize(named.mapInPandas(unit, f"collection string, key {kind}, asks boolean, code long, unit binary"))
     sizes = {r[0]: r[1] for r in rows.groupBy("collection").count().collect()}
     trees: dict[str, tuple[Tree, np.ndarray]] = {}
     for name, n in sizes.items():
         shards = max(0, min(int(np.log2(SHARDS)), int(np.ceil(np.log2(n / SHARD)))))
         share = min(1 << 30, int((1 << 30) * 1.2 * SAMPLE / n))
-        some = rows.where((F.col("collection") == name) & (F.pmod("code", F.lit(1 << 30)) < share)).select("vector").limit(SAMPLE).toPandas()
-        sample = _unit(some["vector"]) if len(some) else np.zeros((1, 1), np.float32)
+        some = rows.where((F.col("collection") == name) & (F.pmod("code", F.lit(1 << 30)) < share)).select("unit").limit(SAMPLE).toPandas()
+        sample = _stack(some["unit"]) if len(some) else np.zeros((1, 1), np.float32)
         trees[name] = Tree.fit(sample, shards)[0], sample if least < 0.5 else sample[:0]
     shared = spark.sparkContext.broadcast(trees)
     radius = np.float32(np.sqrt(max(0.0, 2 - 2 * least)))
@@ -189,10 +201,9 @@ def neighbours(df: DataFrame, k: int = 10, least: float = -1.0, relax: float = 0
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, g in b.groupby("collection", sort=False):
-                x = _unit(g["vector"])
+                x, raw = _stack(g["unit"]), g["unit"].to_numpy()
                 tree, sample = shared.value[name]
                 _, home = tree.leaves(x, np.zeros(len(x), np.float32))
-                raw = np.array([u.tobytes() for u in x] + [None], dtype=object)[:-1]
                 yield pd.DataFrame({"collection": name, "key": g["key"].to_numpy(), "code": g["code"].to_numpy(), "shard": home, "reach": None, "unit": raw})
                 asks = np.flatnonzero(g["asks"].to_numpy(bool))
                 if not len(asks):
@@ -208,7 +219,8 @@ def neighbours(df: DataFrame, k: int = 10, least: float = -1.0, relax: float = 0
                     {"collection": name, "key": g["key"].to_numpy()[at], "code": g["code"].to_numpy()[at], "shard": leaf, "reach": (r * np.float32(relax))[who], "unit": raw[at]}
                 )
 
-    placed = materialize(rows.mapInPandas(place, f"collection string, key {kind}, code long, shard int, reach float, unit binary"))
+    # not stored: placing the rows again is cheaper than keeping a copy of each vector for every shard that it visits
+    placed = rows.mapInPandas(place, f"collection string, key {kind}, code long, shard int, reach float, unit binary")
     per = placed.groupBy("collection", "shard").agg(
         F.ceil(F.sum(F.col("reach").isNull().cast("int")) / BLOCK).cast("int").alias("blocks"),
         F.ceil(F.sum(F.col("reach").isNotNull().cast("int")) / BLOCK).cast("int").alias("crowds"),
@@ -228,8 +240,9 @@ def neighbours(df: DataFrame, k: int = 10, least: float = -1.0, relax: float = 0
     def search(where: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"collection": [], "key": [], "other": [], "cosine": []})
-        x = np.frombuffer(b"".join(left["unit"]), np.float32).reshape(len(left), -1)
-        q = np.frombuffer(b"".join(right["unit"]), np.float32).reshape(len(right), -1)
+        # repeated rows of a key lie in the same task
+        left, right = left.drop_duplicates("code"), right.drop_duplicates("code")
+        x, q = _stack(left["unit"]), _stack(right["unit"])
         s, t, v = _search(x, left["code"].to_numpy(), q, right["code"].to_numpy(), right["reach"].to_numpy(np.float32), k, least)
         return pd.DataFrame({"collection": where[0], "key": right["key"].to_numpy()[s], "other": left["key"].to_numpy()[t], "cosine": v.astype(np.float64)})
 
@@ -237,7 +250,7 @@ def neighbours(df: DataFrame, k: int = 10, least: float = -1.0, relax: float = 0
     home, ask = home.select(names).toDF(*names), ask.select(names).toDF(*names)
     found = home.groupBy(*by).cogroup(ask.groupBy(*by)).applyInPandas(search, f"collection string, key {kind}, other {kind}, cosine double")
     # at most k rows of each block
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "other"))), 1, k)
+    best = F.slice(F.sort_array(F.collect_set(F.struct((-F.col("cosine")).alias("far"), "other"))), 1, k)
     return (
         found.groupBy("collection", "key")
         .agg(best.alias("best"))
