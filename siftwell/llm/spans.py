@@ -5,7 +5,7 @@ that length holds a whole block of either text. The blocks are the index; every
 of a block's size probes it. Windows go through a filter of bounded size made of all blocks
 before any of them is shuffled, and a hash met in two different texts, in one of them as a
 block, is an anchor. Around the anchors every stretch of the least length is compared by a
-128-bit hash, which extends them to the maximal repeats without ever pairing documents. Only
+64-bit hash, which extends them to the maximal repeats without ever pairing documents. Only
 texts that hold an anchor are read again.
 """
 
@@ -145,7 +145,7 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 200) -> DataFr
     exactly the same, in another document.
 
     Keys must be unique. Null texts and those shorter than ``least`` share nothing; repeats within one
-    document do not count; texts are compared by code point, whole. Documents with the same text are
+    document do not count; texts are compared whole, by 64-bit hashes over their code points. Documents with the same text are
     shared from end to end (if long enough) and otherwise count as one. An empty table gives an empty result.
 
     Counts per hash are pre-aggregated before each shuffle, so a passage in a third of all documents is
@@ -203,16 +203,16 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 200) -> DataFr
                 near = np.cumsum(edge)[: len(t) - least + 1] > 0
                 for s in strips([t], least):
                     i = np.flatnonzero(near[s.offset[0] : s.offset[0] + s.length[0] - least + 1])
-                    out = pd.DataFrame({"h1": s.hashes(i, least, _SEEDS[0]).view(np.int64), "h2": s.hashes(i, least, _SEEDS[1]).view(np.int64)})
+                    out = pd.DataFrame({"h": s.hashes(i, least, _SEEDS[1]).view(np.int64)})
                     out["_c1"], out[key], out["at"] = c, k, (i + s.offset[0]).astype(np.int32)
                     yield out
 
     held = docs.select(key, "_text", "_c1", F.xxhash64(key).alias("h")).mapInPandas(hold, f"`{key}` {ktype}, _text string, _c1 long")
-    rows = materialize(held.join(places, key).mapInPandas(stretches, f"h1 long, h2 long, _c1 long, `{key}` {ktype}, at int"))
+    rows = materialize(held.join(places, key).mapInPandas(stretches, f"h long, _c1 long, `{key}` {ktype}, at int"))
     common = materialize(
-        rows.groupBy("h1", "h2").agg(F.min("_c1").alias("a"), F.max("_c1").alias("z"), F.count("*").alias("_n")).where("a <> z").select("h1", "h2", "_n")
+        rows.groupBy("h").agg(F.min("_c1").alias("a"), F.max("_c1").alias("z"), F.count("*").alias("_n")).where("a <> z").select("h", "_n")
     )
-    parts = lookup(rows, common, ["h1", "h2"], "_n").select(key, F.col("at").alias("s"), (F.col("at") + least).alias("e"))
+    parts = lookup(rows, common, ["h"], "_n").select(key, F.col("at").alias("s"), (F.col("at") + least).alias("e"))
     names = docs.select(key, "_c1", "_c2", F.length("_text").alias("e"))
     copies = materialize(names.groupBy("_c1", "_c2").agg(F.count("*").alias("_n")).where("_n > 1"))
     whole = lookup(names, copies, ["_c1", "_c2"], "_n").select(key, F.lit(0).alias("s"), "e")
