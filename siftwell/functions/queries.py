@@ -147,9 +147,14 @@ def find_mentions(text: str) -> list[tuple[str, str, int]]:
     return sorted(out, key=lambda x: x[2])
 
 
-@F.pandas_udf("array<struct<text:string,kind:string,start:int>>")
-def mentions(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: [] if t is None else [{"text": a, "kind": k, "start": i} for a, k, i in find_mentions(t)])
+def mentions(text: Column) -> Column:
+    """array<struct<text, kind, start>> of the names in a query; empty for null."""
+
+    @F.pandas_udf("array<struct<text:string,kind:string,start:int>>")
+    def find(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: [] if t is None else [{"text": a, "kind": k, "start": i} for a, k, i in find_mentions(t)])
+
+    return find(text)
 
 
 def normalize(c: Column) -> Column:
@@ -254,7 +259,7 @@ def weights(n_mentions: Column, n_keywords: Column, normalized: Column) -> Colum
 
 def parse(queries: DataFrame, text: str = "text") -> DataFrame:
     """Adds normalized, mentions, keywords, expanded, intent, confidence, gate and weights to a query table."""
-    q = queries.withColumn("mentions", mentions(F.trim(text))).withColumn("normalized", normalize(F.trim(text)))
+    q = queries.withColumn("mentions", mentions(F.trim(F.col(text)))).withColumn("normalized", normalize(F.trim(text)))
     q = q.withColumn("keywords", keywords(F.col("normalized"), F.col("mentions.text"))).withColumn("expanded", expansions(F.col("keywords")))
     found = intent(F.trim(text))
     return (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,8 +193,6 @@ def porter(word: str) -> str:
 
 def stemmed(df: DataFrame, column: str) -> DataFrame:
     """Replaces the terms of a postings or query-term table by their stems and adds up tf where there is one."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def stem(s: pd.Series) -> pd.Series:
         known = {w: porter(w) for w in s.dropna().unique()}
