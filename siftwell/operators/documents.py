@@ -51,10 +51,12 @@ def code_references(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def mentions(df: DataFrame, key: str, text: str, entities: DataFrame) -> DataFrame:
     """key, name, confidence: mentions of entities that exist, each once by its first pattern."""
-    parts = []
-    for i, (p, c) in enumerate(MENTION_PATTERNS):
-        names = F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda n: F.replace(n, F.lit("()"), F.lit("")))
-        parts.append(F.transform(names, lambda n, i=i, c=c: F.struct(F.lit(i).alias("o"), n.alias("name"), F.lit(c).alias("c"))))
+
+    def found(i: int, pattern: str, sure: float) -> Column:
+        names = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        return F.transform(names, lambda n: F.struct(F.lit(i).alias("o"), F.replace(n, F.lit("()"), F.lit("")).alias("name"), F.lit(sure).alias("c")))
+
+    parts = [found(i, p, c) for i, (p, c) in enumerate(MENTION_PATTERNS)]
     x = df.where(F.col(text).isNotNull()).select(key, F.explode(F.concat(*parts)).alias("m")).select(key, "m.*")
     known = entities.select("name").where("name is not null").distinct()
     return x.join(known, "name", "left_semi").groupBy(key, "name").agg(F.min_by("c", "o").alias("confidence"))
@@ -157,10 +159,13 @@ def critique(drafts: DataFrame) -> DataFrame:
         F.when((F.size("names") > 0) & F.col("draft").rlike(UNSURE), F.array(issue("unsure", "medium", F.lit(None).cast("string")))),
         F.transform(F.filter(refs, unknown), lambda r: issue("unknown_reference", "medium", r)),
     ]
-    for name, p in STRONG:
+
+    def strong(name: str, pattern: str) -> Column:
         # with 50 characters on either side
-        around = F.regexp_extract_all("draft", F.lit(f"(?s)(.{{0,50}}(?:{p}).{{0,50}})"), F.lit(1))
-        found.append(F.transform(F.filter(around, lambda a: ~supported(a, F.col("names"), F.col("context"))), lambda a, name=name: issue(f"{name}_claim", "low", a)))
+        around = F.regexp_extract_all("draft", F.lit(f"(?s)(.{{0,50}}(?:{pattern}).{{0,50}})"), F.lit(1))
+        return F.transform(F.filter(around, lambda a: ~supported(a, F.col("names"), F.col("context"))), lambda a: issue(f"{name}_claim", "low", a))
+
+    found += [strong(name, p) for name, p in STRONG]
     none = F.array().cast("array<struct<issue:string,severity:string,detail:string>>")
     return drafts.select("draft_id", F.explode(F.concat(*[F.coalesce(f, none) for f in found])).alias("i")).select("draft_id", "i.*")
 

@@ -1 +1 @@
-
+"""Structured Streaming counterparts of stateful operators."""
