@@ -203,7 +203,8 @@ def neighbours(df: DataFrame, k: int = 10, least: float = -1.0, relax: float = 0
             for name, g in b.groupby("collection", sort=False):
                 x, raw = _stack(g["unit"]), g["unit"].to_numpy()
                 tree, sample = shared.value[name]
-                _, home = tree.leaves(x, np.zeros(len(x), np.float32))
+                own, home = tree.leaves(x, np.zeros(len(x), np.float32))
+                home = home[np.argsort(own)]
                 yield pd.DataFrame({"collection": name, "key": g["key"].to_numpy(), "code": g["code"].to_numpy(), "shard": home, "reach": None, "unit": raw})
                 asks = np.flatnonzero(g["asks"].to_numpy(bool))
                 if not len(asks):
