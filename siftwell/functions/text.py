@@ -34,9 +34,9 @@ def split_identifier(c: Column) -> Column:
     def parts(sep: str) -> Column:
         return F.when(F.instr(c, sep) > 0, F.filter(F.split(c, sep), lambda x: x != "")).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(
-        F.concat(F.array(c), F.when(F.size(camel) > 1, camel).otherwise(F.array().cast("array<string>")), parts("_"), parts("-"), F.array(F.lower(c)))
-    )
+    none = F.array().cast("array<string>")
+    every = F.array_distinct(F.concat(F.array(c), F.when(F.size(camel) > 1, camel).otherwise(none), parts("_"), parts("-"), F.array(F.lower(c))))
+    return F.when(c.isNotNull(), every)
 
 
 def content_hash(c: Column) -> Column:

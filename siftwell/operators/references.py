@@ -81,7 +81,7 @@ def report(references: DataFrame, entities: DataFrame, removals: DataFrame) -> D
     Only the rows of suspect keys are shuffled by key. Keys with more than 1/200 of all
     references (fewer than 200, whatever the data) never are: they are joined by broadcast.
     """
-    references = references.where(F.col("key").isNotNull())
+    references = references.select("ref_table", "ref_field", "row_key", "key", "at").where(F.col("key").isNotNull())
     known = entities.groupBy("key").agg(F.min("at").alias("at"))
     gone = removals.select("key").distinct()
     state = materialize(

@@ -45,26 +45,30 @@ def ignore_globs(text: str) -> list[str]:
     return globs
 
 
-def ignored(path: Column, globs: list[str] | tuple[str, ...]) -> Column:
-    """True where a relative path, or its last part for a glob without a slash, fits one of the globs: one alternation, no join."""
-    whole = [glob_regex(g) for g in globs]
-    names = [glob_regex("**/" + g) for g in globs if "/" not in g]
-    folders = [glob_regex("**/" + g) for g in globs if g.endswith("/**") and g.count("/") == 1]
-    return path.rlike("|".join(f"(?:{p})" for p in [*whole, *names, *folders])) if globs else F.lit(False)
+def default_globs() -> list[str]:
+    """Globs of EXCLUDED, at any depth."""
+    return [g for x in EXCLUDED for g in (x, f"**/{x}")]
+
+
+def ignored(path: Column, globs: list[str]) -> Column:
+    """True where a relative path fits one of the globs: one alternation, no join."""
+    return path.rlike("|".join(f"(?:{glob_regex(g)})" for g in globs)) if globs else F.lit(False)
 
 
 def read_tree(spark: SparkSession, root: str, ignore_files: tuple[str, ...] = (".gitignore",), extra: tuple[str, ...] = (), most_bytes: int = 500_000) -> DataFrame:
     """path (relative), content, language, size, md5 of the text files under a folder that no rule excludes.
 
+    Rules are EXCLUDED, the ignore files at the root and ``extra`` globs. Hidden files are not listed.
     Larger files than ``most_bytes`` come with null content.
     """
     base = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     path = F.regexp_replace("path", f"^.*?{re.escape(base)}/", "")
-    globs = [*EXCLUDED, *extra]
-    rules = files.where(F.element_at(F.split("path", "/"), -1).isin(*ignore_files)).where(F.length(path) - F.length(F.replace(path, F.lit("/"))) == 0)
-    for r in rules.select(F.decode("content", "utf-8").alias("t")).collect():  # one small file per rule name
-        globs += ignore_globs(r.t)
+    globs = [*default_globs(), *extra]
+    for name in ignore_files:
+        rules = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
+        if rules.getFileSystem(spark._jsc.hadoopConfiguration()).exists(rules):
+            globs += ignore_globs(spark.read.text(f"{base}/{name}", wholetext=True).first()[0])
     kept = files.where(~ignored(path, globs))
     lang = F.create_map(*[F.lit(x) for p in SOURCE_LANGUAGES.items() for x in p])[F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))]
     small = F.col("length") <= most_bytes
