@@ -67,8 +67,11 @@ def read_tree(spark: SparkSession, root: str, ignore_files: tuple[str, ...] = ("
     globs = [*default_globs(), *extra]
     for name in ignore_files:
         rules = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
-        if rules.getFileSystem(spark._jsc.hadoopConfiguration()).exists(rules):
-            globs += ignore_globs(spark.read.text(f"{base}/{name}", wholetext=True).first()[0])
+        fs = rules.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(rules):  # read by the file system, as Spark's readers pass over hidden files
+            stream = fs.open(rules)
+            globs += ignore_globs(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            stream.close()
     kept = files.where(~ignored(path, globs))
     lang = F.create_map(*[F.lit(x) for p in SOURCE_LANGUAGES.items() for x in p])[F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))]
     small = F.col("length") <= most_bytes
