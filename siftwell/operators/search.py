@@ -23,8 +23,10 @@ def postings(df: DataFrame, key: str, *fields: str) -> DataFrame:
 
     To be written once (partitioned or sorted by term) and read by every batch of queries.
     """
-    t = tokens(F.concat_ws(" ", *fields))
-    return df.select(F.col(key).alias("doc"), F.size(t).alias("len"), F.explode(t).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    x = df.select(F.col(key).alias("doc"), tokens(F.concat_ws(" ", *fields)).alias("_t"))
+    # the length is taken before the rows are exploded, or it would be computed for each of them anew
+    x = x.select("doc", F.size("_t").alias("len"), "_t").select("doc", "len", F.explode("_t").alias("term"))
+    return x.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
 def stats(df: DataFrame, *fields: str) -> DataFrame:
