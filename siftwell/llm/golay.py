@@ -291,7 +291,8 @@ def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     A set of n needs n - ceil(threshold n) + 1 of its shingles in the common order to meet every set
     it is that similar to. Rarest first leaves passages that many records hold out of the join.
     """
-    each = sets.select("c1", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    # the size is taken before the rows are exploded, or each of them would carry the whole set
+    each = sets.select("c1", F.size("shingles").alias("n"), "shingles").select("c1", "n", F.explode("shingles").alias("s"))
     rare = materialize(each.groupBy("s").agg(F.count("*").alias("_n")))
     ranked = (
         lookup(each, rare.withColumn("f", F.col("_n")), ["s"], "_n")
