@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell import retrieval
 from siftwell.functions import queries as Q
 from siftwell.functions import text as T
 from siftwell.operators import context as X
@@ -205,6 +206,12 @@ def context_assemble(spark, d):
     return X.assemble(grown.select("query_id", "entity_id", "score"), e)
 
 
+def context_query(spark, d):
+    """The flagship: gate, parse, keyword and graph strategies, fusion, reranking, expansion, assembly, confidence."""
+    got = retrieval.context_query(batch(spark), ents(spark, d), read(spark, d, "relationships"))
+    return got.select("query_id", "retrieve", "reason", "context", "tokens", "sources", "truncated", r6("confidence").alias("confidence"))
+
+
 def context_expansion(spark, d):
     e = ents(spark, d)
     top = search.exact_name(e, spark.createDataFrame([(i, n) for i, n in enumerate(("DurablePlanner", "readImporter", "importHandle", "FinalOutbox"))], "query_id int, text string"))
@@ -221,7 +228,7 @@ QUERIES = {
     for f in (
         keyword_bm25_topk, tiered_search_scored, exact_name_search, like_substring_search, term_and_search, message_search_stemmed, knn_topk,
         knn_best_chunk_dedup, knn_type_filter, rrf_fusion, heuristic_rerank, confidence_topk_decay, token_budget_prefix, budget_greedy_skip,
-        context_assemble, context_expansion, query_parse,
+        context_assemble, context_query, context_expansion, query_parse,
     )
 }
 SQL = {
