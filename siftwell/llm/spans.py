@@ -155,9 +155,10 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 200) -> DataFr
         raise ValueError(f"least must be between 2 and {STRIP}")
     spark = df.sparkSession
     block = least // 2
-    docs = df.where(F.length(text) >= least).select(key, F.col(text).alias("_text"), *_classes(F.col(text)))
+    name, key = key, "_key"
+    docs = df.where(F.length(text) >= least).select(F.col(name).alias(key), F.col(text).alias("_text"), *_classes(F.col(text)))
     n_blocks = docs.agg(F.sum(F.floor(F.length("_text") / block))).first()[0] or 0
-    ktype = df.schema[key].dataType.simpleString()
+    ktype = df.schema[name].dataType.simpleString()
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -216,7 +217,7 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 200) -> DataFr
     names = docs.select(key, "_c1", "_c2", F.length("_text").alias("e"))
     copies = materialize(names.groupBy("_c1", "_c2").agg(F.count("*").alias("_n")).where("_n > 1"))
     whole = lookup(names, copies, ["_c1", "_c2"], "_n").select(key, F.lit(0).alias("s"), "e")
-    return islands(parts.unionByName(whole), key)
+    return islands(parts.unionByName(whole), key).withColumnRenamed(key, name)
 
 
 def _block_places(s: Strip, block: int) -> np.ndarray:

@@ -94,3 +94,11 @@ def test_empty_table(spark, rows):
     df = spark.createDataFrame([], "id string, text string")
     members, pairs = G.near_duplicates(df, "id", "text")
     assert rows(members) == rows(pairs) == []
+
+
+def test_very_long_record(spark, rows):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(100000)}" for _ in range(560_000)]
+    edited = words[:280_000] + ["new"] * 10 + words[280_000:]
+    df = spark.createDataFrame([("a", " ".join(words)), ("b", " ".join(edited)), ("c", "x")], "id string, text string")
+    assert rows(G.near_duplicates(df, "id", "text")[1], "a", "b") == [("a", "b")]

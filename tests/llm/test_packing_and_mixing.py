@@ -111,3 +111,10 @@ def test_mixing_an_empty_table(spark):
     assert uses.collect() == [] and report.first().mixed_tokens == 0
     uses, report = mixing.mix(df, "doc_id", "text", "source", targets.limit(0))
     assert {r.copies for r in uses.collect()} == {0} and report.collect() == []
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame([(1, "some words " * 100_000), (2, "x")], "doc_id long, text string")
+    n = {r.doc_id: r.n_tokens for r in tokens.sizes(df, "doc_id", "text").collect()}
+    rows = packing.pack(df, "doc_id", "text", [("s", 1000)]).collect()
+    assert sum(r.n_tokens for r in rows) == sum(n.values()) and max(r.n_tokens for r in rows) == 1000

@@ -62,3 +62,37 @@ def test_copies_and_empty_tables(spark):
     got = sorted((r.doc_id, r.span_start, r.span_end) for r in S.shared_spans(df, "doc_id", "text").collect())
     assert got == [(1, 0, 300), (2, 0, 300), (3, 0, 250)]
     assert S.shared_spans(df.limit(0), "doc_id", "text").collect() == []
+
+
+def test_strips_cover_every_window_once(monkeypatch):
+    monkeypatch.setattr(S, "STRIP", 64)
+    S._powers.cache_clear()
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abc") for _ in range(n)) for n in (0, 5, 9, 10, 63, 64, 65, 73, 74, 300)]
+    width, seen = 10, {}
+    for s in S.strips(texts, width):
+        h, ok = s.hashes(slice(None), width), s.valid(width)
+        for at in range(len(h)):
+            own = max(i for i in range(len(s.start)) if s.start[i] <= at)
+            if ok[at]:
+                place = (int(s.owner[own]), int(s.offset[own] + at - s.start[own]))
+                assert place not in seen
+                seen[place] = int(h[at])
+                assert int(s.hashes(S.np.array([at]), width)[0]) == int(h[at])
+    windows = {(d, i): t[i : i + width] for d, t in enumerate(texts) for i in range(len(t) - width + 1)}
+    assert set(seen) == set(windows)
+    by = {}
+    for p, w in windows.items():
+        by.setdefault(w, set()).add(seen[p])
+    assert all(len(h) == 1 for h in by.values()) and len({min(h) for h in by.values()}) == len(by)
+    S._powers.cache_clear()
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefghij") for _ in range(1_200_000))
+    at = (1 << 20) - 250
+    other = "#" * 30 + long[at : at + 600] + "#" * 30
+    df = spark.createDataFrame([(1, long, 0, 0), (2, other, 0, 0)], "s long, text string, at int, h int")
+    got = sorted(tuple(r) for r in S.shared_spans(df, "s", "text").collect())
+    assert got == [(1, at, at + 600), (2, 30, 630)]

@@ -69,3 +69,10 @@ def test_pieces(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id string, content string")
     assert S.split(df, "id", "content").collect() == []
+
+
+def test_very_long_text(spark):
+    t = ("word " * 50 + "\n") * 4000
+    df = spark.createDataFrame([("a", t)], "id string, content string")
+    r = S.split(df, "id", "content").orderBy("chunk_index").collect()
+    assert max(len(x.piece) for x in r) <= 3000 and r[-1].char_end == len(t)
