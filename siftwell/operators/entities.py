@@ -108,6 +108,18 @@ def update(df: DataFrame, changes: DataFrame) -> DataFrame:
     return out.select(*df.columns)
 
 
+def set_columns(df: DataFrame, ids: DataFrame, values: dict[str, Column], key: str = "id") -> DataFrame:
+    """Set columns of the rows whose key is in ``ids``: marks of suggestions, tiers of memory, weights of edges, status of sessions."""
+    hit = df.join(ids.select(key, F.lit(True).alias("_h")).distinct(), key, "left")
+    return hit.select(*[F.when(F.col("_h"), values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns])
+
+
+def symbols(df: DataFrame, text: str) -> DataFrame:
+    """Entities whose path, name or summary holds the text, case aside."""
+    low = text.lower()
+    return df.where(F.greatest(*[F.coalesce(F.instr(F.lower(c), low), F.lit(0)) for c in ("file_path", "name", "summary")]) > 0)
+
+
 def delete(df: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
     """Without the rows whose key is in ``gone``; rows of a null key stay."""
     return df.join(gone.select(key).distinct(), key, "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell import providers
+from siftwell.functions import code as C
 from siftwell.operators import chunks, documents
 from siftwell.plans.analytics_queries import memory
 from siftwell.plans.search_queries import ents
@@ -112,12 +113,17 @@ def mock_embeddings(spark, d):
     return providers.embed(e, "name", providers.MockEmbedding).select("id", F.round(F.col("embedding")[0], 6).alias("first"), F.size("embedding").alias("dims"))
 
 
+def code_summaries(spark, d):
+    e = ents(spark, d).where("content is not null")
+    return e.select("id", F.length(C.summarize(F.col("type"), F.col("content"))).alias("n_chars"), F.length(C.embedding_text(F.col("type"), F.col("name"), F.col("summary"), F.col("content"))).alias("n_embedded"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         overlap_chunks, section_chunks, code_chunks, markdown_parse, section_links, section_tree, code_block_languages, html_extract,
         code_references, entity_mentions, requirement_priorities, requirements, critique, json_documents, session_window_debounce,
-        tumbling_counts, sliding_counts, memory_auto_spill, mock_embeddings,
+        tumbling_counts, sliding_counts, memory_auto_spill, mock_embeddings, code_summaries,
     )
 }
 _SEC = "sec AS (SELECT DISTINCT ON (id) * FROM markdown_sections)"

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from siftwell.functions import code as C
 from siftwell.functions import queries as Q
 from siftwell.functions import text as T
 from siftwell.operators import search
@@ -116,3 +117,16 @@ def test_ignore_rules(spark):
     }
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     assert {r.p: r.x for r in df.select("p", files.ignored(F.col("p"), globs).alias("x")).collect()} == paths
+
+
+def test_code_descriptions(spark):
+    text = "/** Does it. */\nexport class A {\n  private x: number\n  run(a: string): void {\n    return go()\n  }\n}"
+    assert one(spark, C.summarize(F.lit("class"), F.col("t")), t=text) == "/** Does it. */\nexport class A {\n  private x: number\n  run(a: string): void"
+    assert one(spark, C.summarize(F.lit("function"), F.col("t")), t="function f(a) {\n  return 1\n}") == "function f(a)"
+    assert one(spark, C.meaningful_lines(F.col("t")), t="// c\n\nx = 1\n}\ny") == "x = 1\ny"
+    assert one(spark, C.type_names(F.col("t")), t="Promise<Array<User>> | null") == ["User"]
+    assert [one(spark, C.is_private(F.col("t")), t=x) for x in ("_a", "__init__", "b")] == [True, False, False]
+    assert [one(spark, C.is_external(F.col("t")), t=x) for x in ("./a", "react")] == [False, True]
+    assert [one(spark, C.node_type(F.col("t")), t=x) for x in ("a.ts::f", "a.ts", "react")] == ["symbol", "file", "module"]
+    assert one(spark, C.describe(F.lit("function"), F.lit("f"), F.col("t"), F.lit("(a)")), t=None) == "Function f (a)"
+    assert one(spark, C.describe(F.lit("function"), F.lit("f"), F.col("t"), F.lit("(a)")), t="Does.\nMore") == "Does."

@@ -49,6 +49,8 @@ def test_upsert_update_delete(spark, rows, five):
     r = changed.where("id = '3'").first()
     assert r.content == "text" and r.metadata == {"connectionCount": "9", "a": "b"} and len(r.hash) == 16
     gone = spark.createDataFrame([("1",)], "id string")
+    assert rows(entities.set_columns(five, gone, {"summary": F.lit("set")}).where("summary = 'set'"), "id") == [("1",)]
+    assert rows(entities.symbols(five, "USERSTORE"), "id") == [("3",)]
     e, g, v = entities.delete_cascade(five, edge(spark, [("1", "2", "CALLS", 1.0), ("2", "3", "USES", 1.0), ("3", "1", "USES", 1.0)]), spark.createDataFrame([("1", "m", 0, None, [1.0], None)], schemas.VECTORS), gone)
     assert (e.count(), g.count(), v.count()) == (4, 1, 0)
 
