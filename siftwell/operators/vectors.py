@@ -21,6 +21,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 #: Most query vectors of a batch; they travel to every task (64 MB at 1,024 doubles).
 QUERIES = 8_192
+#: Query vectors that are compared with a batch of rows at once.
+AT_ONCE = 512
 
 
 def knn(
@@ -32,7 +34,8 @@ def knn(
     query batch being what is broadcast. ``allowed`` (entity_id) and ``model`` restrict before the
     search, so nothing is lost. Unusable vectors (null, zero, other length) score 0.
     """
-    v = vectors if model is None else vectors.where(F.col("model_id") == model)
+    v = vectors.where(F.col("entity_id").isNotNull())
+    v = v if model is None else v.where(F.col("model_id") == model)
     v = v if allowed is None else v.join(allowed.select("entity_id").distinct(), "entity_id", "left_semi")
     asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).limit(QUERIES + 1).collect()
     if len(asked) > QUERIES:
@@ -53,11 +56,19 @@ def knn(
                 ids, q = shared.value[n]
                 x = np.stack(g["embedding"].to_numpy()).astype(float)
                 norm = np.linalg.norm(x, axis=1)
-                s = np.where(np.isfinite(norm) & (norm > 0), q @ (x / np.where(norm > 0, norm, 1)[:, None]).T, 0.0)
-                s = np.nan_to_num(s)
-                # of each query the best rows of this batch, enough for k entities unless chunks of one crowd them out
-                i, j = np.nonzero(s >= threshold)
-                yield pd.DataFrame({"query_id": [ids[a] for a in i], "entity_id": g["entity_id"].to_numpy()[j], "score": s[i, j]})
+                ok = np.isfinite(norm) & (norm > 0)
+                x = np.where(ok[:, None], x / np.where(ok, norm, 1)[:, None], 0.0)
+                code, names = pd.factorize(g["entity_id"])
+                order = np.argsort(code, kind="stable")
+                first = np.searchsorted(code[order], np.arange(len(names)))
+                for i in range(0, len(q), AT_ONCE):
+                    # an entity among the k best of all is among the k best of the batch that holds its best chunk
+                    best = np.maximum.reduceat(q[i : i + AT_ONCE] @ x[order].T, first, axis=1)
+                    least = np.full(len(best), threshold)
+                    if len(names) > k:
+                        least = np.maximum(least, np.partition(best, len(names) - k, axis=1)[:, len(names) - k])
+                    r, c = np.nonzero(best >= least[:, None])
+                    yield pd.DataFrame({"query_id": [ids[i + j] for j in r], "entity_id": np.asarray(names)[c], "score": best[r, c]})
 
     scored = v.select("entity_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInPandas(score, f"query_id {qtype}, entity_id {etype}, score double")
     best = scored.groupBy("query_id", "entity_id").agg(F.max("score").alias("score"))
