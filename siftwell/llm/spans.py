@@ -24,6 +24,8 @@ from siftwell.runtime import materialize
 
 #: Characters hashed at once, and the largest filter in bits (64 MB). A fuller filter lets more windows pass; the result stays the same.
 STRIP, MOST_BITS = 1 << 20, 1 << 29
+#: Documents that hold an anchor up to which their keys are broadcast as they are, instead of as a filter.
+FEW = 200_000
 #: Multipliers of the rolling hashes (any odd numbers).
 _SEEDS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
@@ -110,8 +112,12 @@ class Filter:
         return m
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        m = self.mask(h)
-        return (self.words[self.place(h, len(self.words))] & m) == m
+        w = self.words[self.place(h, len(self.words))]
+        hit = (w >> (h & np.uint64(63))) & np.uint64(1) != 0
+        at = np.flatnonzero(hit)  # one of the four bits settles most
+        m = self.mask(h[at])
+        hit[at] = (w[at] & m) == m
+        return hit
 
     @classmethod
     def build(cls, hashes: DataFrame, n_hashes: int) -> Filter:
@@ -187,8 +193,6 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 200) -> DataFr
     )
     # the places of one document, so never more than it has characters
     places = materialize(lookup(windows, anchors, ["h"], "_n").groupBy(key).agg(F.collect_set("at").alias("_places")))
-    holders = spark.sparkContext.broadcast(Filter.build(places.select(F.xxhash64(key).alias("h")), places.count()).words)
-
     def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Filter(holders.value)
         for b in batches:
@@ -208,7 +212,12 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 200) -> DataFr
                     out["_c1"], out[key], out["at"] = c, k, (i + s.offset[0]).astype(np.int32)
                     yield out
 
-    held = docs.select(key, "_text", "_c1", F.xxhash64(key).alias("h")).mapInPandas(hold, f"`{key}` {ktype}, _text string, _c1 long")
+    n_holders = places.count()
+    if n_holders <= FEW:
+        held = docs.select(key, "_text", "_c1").join(F.broadcast(places.select(key)), key, "left_semi")
+    else:
+        holders = spark.sparkContext.broadcast(Filter.build(places.select(F.xxhash64(key).alias("h")), n_holders).words)
+        held = docs.select(key, "_text", "_c1", F.xxhash64(key).alias("h")).mapInPandas(hold, f"`{key}` {ktype}, _text string, _c1 long")
     rows = materialize(held.join(places, key).mapInPandas(stretches, f"h long, _c1 long, `{key}` {ktype}, at int"))
     common = materialize(
         rows.groupBy("h").agg(F.min("_c1").alias("a"), F.max("_c1").alias("z"), F.count("*").alias("_n")).where("a <> z").select("h", "_n")

@@ -42,10 +42,10 @@ def corpus(seed, alphabet, n=30):
     return texts
 
 
+@pytest.mark.parametrize("few", [0, 1000])
 @pytest.mark.parametrize("seed,alphabet,least", [(1, "abcdefgh", 20), (2, "ab", 20), (3, "aé漢😀b", 11), (4, "a", 20)])
-def test_equal_to_brute_force(spark, rows, monkeypatch, seed, alphabet, least):
-    monkeypatch.setattr(S, "STRIP", 64)
-    S._powers.cache_clear()
+def test_equal_to_brute_force(spark, rows, monkeypatch, seed, alphabet, least, few):
+    monkeypatch.setattr(S, "FEW", few)
     texts = corpus(seed, alphabet)
     data = [(k, v, "x") for k, v in texts.items()] + [(1000, None, None)]
     df = spark.createDataFrame(data, "doc_id long, text string, h string")
@@ -53,7 +53,6 @@ def test_equal_to_brute_force(spark, rows, monkeypatch, seed, alphabet, least):
     assert got == brute(texts, least)
     cover = {r.doc_id: r for r in S.coverage(df, S.shared_spans(df, "doc_id", "text", least), "doc_id", "text").collect()}
     assert cover[1000].shared_share is None and len(cover) == len(texts) + 1
-    S._powers.cache_clear()
 
 
 def test_copies_and_empty_tables(spark):
