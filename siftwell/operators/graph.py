@@ -1,8 +1,9 @@
 """Graph operators on edge tables: id, source_id, target_id, relationship, weight.
 
 Traversals advance a frontier by one join per hop, for all start nodes of a batch at once, and
-write each hop to the shared folder. Edges of hub nodes are spread: the frontier, one row per
-node and start, is the side that is looked up.
+write each hop to the shared folder. Edges are only scanned, never shuffled as long as the frontier is
+small enough for Spark to broadcast it; beyond that a hub's edges are split by the adaptive skew join, as the
+frontier has one row per node and start. Traversals without a bound keep the two columns they need.
 """
 
 from __future__ import annotations
@@ -30,12 +31,18 @@ def steps(edges: DataFrame, direction: str = "both") -> DataFrame:
     return {"out": out, "in": back, "both": out.unionByName(back)}[direction]
 
 
+#: Hops up to which the edge table is read for every hop rather than stored in a reduced form first.
+SCANS = 3
+
+
 def distances(edges: DataFrame, starts: DataFrame, direction: str = "out", depth: int | None = None) -> DataFrame:
     """start, node, depth: every node that can be reached from each start (column node), itself at 0.
 
     Breadth first; ends when a hop brings nothing new, or after ``depth`` hops.
     """
-    ways = materialize(steps(edges, direction).where("a <> b").select("a", "b").distinct())
+    ways = steps(edges, direction).where("a <> b").select("a", "b")
+    if depth is None or depth > SCANS:
+        ways = materialize(ways)
     frontier = materialize(starts.select(F.col("node").alias("start"), "node").where(F.col("node").isNotNull()).distinct().withColumn("depth", F.lit(0)))
     seen, hop = frontier, 0
     while depth is None or hop < depth:
@@ -84,7 +91,7 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, longest: int = 5, most: int
     Parallel edges make different paths. Ties go to the greater weight, then to the edge ids. Only partial
     paths whose end can still reach the goal in the hops that are left are carried on.
     """
-    ways = materialize(steps(edges, "out").where("a <> b"))
+    ways = steps(edges, "out").where("a <> b")
     goals = pairs.select(F.col("goal").alias("node")).distinct()
     back = materialize(distances(edges, goals, "in", longest).select(F.col("start").alias("goal"), F.col("node").alias("b"), F.col("depth").alias("left")))
     grow = pairs.select("start", "goal", F.array("start").alias("path"), F.array().cast("array<string>").alias("edges"), F.lit(0.0).alias("weight"), F.col("start").alias("a"))
@@ -110,8 +117,7 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, longest: int = 5, most: int
 def shortest_path(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """start, goal, path, length: a directed path of fewest hops for each pair that has one; of several the one whose
     edges are heaviest step by step, then of least ids. A pair of one node has a path of length 0."""
-    best = Window.partitionBy("a", "b").orderBy(F.col("weight").desc(), F.col("id"))
-    ways = materialize(steps(edges, "out").where("a <> b").withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n"))
+    ways = materialize(steps(edges, "out").where("a <> b"))
     frontier = materialize(pairs.select("start", F.col("start").alias("node")).distinct().withColumn("path", F.array("start")).withColumn("_o", F.array().cast("array<struct<w:double,i:string>>")))
     seen = frontier.select("start", "node", "path")
     open_ = pairs.select("start", "goal").where("start <> goal").distinct()
