@@ -115,7 +115,8 @@ def tiered(entities: DataFrame, queries: DataFrame, limit: int, compat: bool = F
     """
     q = queries.where(F.trim("text") != "")
     fields = ["name", "content", "summary"]
-    r = bm25(postings(entities, "id", *fields), stats(entities, *fields), q)
+    # rounded, so that scores that differ by rounding alone are ties
+    r = bm25(postings(entities, "id", *fields), stats(entities, *fields), q).withColumn("score", F.round("score", 9))
     fts = F.lit(1.0) / (1 + F.col("score")) if compat else F.col("score") / (1 + F.col("score"))
     none = F.lit(0.0)
     hits = (

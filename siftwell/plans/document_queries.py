@@ -9,7 +9,7 @@ from siftwell import providers
 from siftwell.functions import code as C
 from siftwell.operators import chunks, documents
 from siftwell.plans.analytics_queries import memory
-from siftwell.plans.search_queries import ents
+from siftwell.plans.search_queries import _ENT, ents
 from siftwell.runtime import read
 from siftwell.sources import parsers
 from siftwell.streaming import events as S
@@ -136,6 +136,18 @@ SELECT doc_id::VARCHAR AS path, source AS title, md5(trim(regexp_replace(source
     "requirement_priorities": f"""WITH {_SEC} SELECT id, CASE {" ".join(f"WHEN regexp_matches(content, '(?i)\\b(?:{w.replace(chr(39), chr(39) * 2)})\\b') THEN '{p}'" for p, w in documents.PRIORITIES)} END AS priority,
 CASE WHEN regexp_matches(content, '{documents.USER_STORY}') THEN 'user-story' WHEN regexp_matches(content, '(?i)constraint|limitation|restriction|must not|cannot') THEN 'constraint'
 WHEN regexp_matches(content, '(?i)feature|capability|ability to|support for') THEN 'feature' ELSE 'requirement' END AS kind FROM sec WHERE content IS NOT NULL""",
+    "entity_mentions": f"""WITH {_ENT}, {_SEC}, m AS (
+  SELECT id, replace(unnest(regexp_extract_all(content, '`([A-Za-z_][A-Za-z0-9_.]*(?:\\(\\))?)`', 1)), '()', '') AS name, 0 AS o, 0.95::DOUBLE AS c FROM sec
+  UNION ALL SELECT id, unnest(regexp_extract_all(content, '\\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\\b', 1)), 1, 0.8 FROM sec
+  UNION ALL SELECT id, unnest(regexp_extract_all(content, '\\b((?:src|lib|test|tests)/[A-Za-z0-9_/.-]+\\.[A-Za-z0-9_]+)\\b', 1)), 2, 0.9 FROM sec)
+SELECT id, name, arg_min(c, o) AS confidence FROM m WHERE name IN (SELECT name FROM ent WHERE name IS NOT NULL) GROUP BY 1, 2""",
+    "json_documents": """WITH r AS (SELECT DISTINCT ON (id) * FROM reflections)
+SELECT key, kind, n FROM (SELECT 'session_id' AS key, 'variable' AS kind, count(session_id) AS n FROM r UNION ALL SELECT 'outcome', 'variable', count(outcome) FROM r
+UNION ALL SELECT 'attempt_number', 'variable', count(attempt_number) FROM r UNION ALL SELECT 'tags', 'component', count(tags) FROM r) WHERE n > 0""",
+    "mock_embeddings": f"""WITH {_ENT}, h AS (SELECT id, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(name, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (h * 31 + c) % 4294967296) AS h FROM ent WHERE name IS NOT NULL),
+s AS (SELECT id, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END::DOUBLE AS h FROM h),
+v AS (SELECT id, list_transform(range(1, 129), lambda i: sin(h * i * 0.0001::DOUBLE)) AS v FROM s)
+SELECT id, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS first, 128::INT AS dims FROM v""",
     "session_window_debounce": """WITH e AS (SELECT user_id::VARCHAR AS path, event_type AS change, ts FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
 f AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 1 HOUR THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY path ORDER BY ts)),
 g AS (SELECT *, sum(new) OVER (PARTITION BY path ORDER BY ts) AS i FROM f)

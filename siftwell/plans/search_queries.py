@@ -231,8 +231,26 @@ QUERIES = {
         context_assemble, context_query, context_expansion, query_parse,
     )
 }
+_TIERS = f"""
+WITH {_BATCH}, {_ENT}, {_TERMS},
+tok AS (SELECT id, {_TOK.format("concat_ws(' ', name, content, summary)")} AS t FROM ent),
+corpus AS (SELECT count(*) AS n_docs, avg(len(t)) AS avg_len FROM tok),
+post AS (SELECT id, len(t) AS n, unnest(t) AS term FROM tok),
+tf AS (SELECT qterm, id, any_value(n) AS n, count(*) AS tf FROM post JOIN (SELECT DISTINCT qterm FROM terms) ON starts_with(term, qterm) GROUP BY 1, 2),
+df AS (SELECT qterm, count(*) AS df FROM tf GROUP BY 1),
+fts AS (SELECT query_id, id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / avg_len))), 9) AS b
+  FROM terms JOIN tf USING (qterm) JOIN df USING (qterm) CROSS JOIN corpus GROUP BY 1, 2),
+hits AS (
+  SELECT query_id, id, 1 AS tier, 1.0::DOUBLE AS score, 0.0::DOUBLE AS b FROM batch JOIN ent ON lower(name) = lower(trim(text))
+  UNION ALL SELECT query_id, id, 2, 0.95, 0 FROM batch JOIN ent ON ends_with(lower(qualified_name), '::' || lower(trim(text)))
+  UNION ALL SELECT query_id, id, 3, b / (1 + b), b FROM fts),
+every AS (FROM hits UNION ALL SELECT query_id, id, 4, 0.3, 0 FROM batch, ent
+  WHERE query_id NOT IN (SELECT query_id FROM hits) AND (contains(lower(name), lower(trim(text))) OR contains(lower(content), lower(trim(text))) OR contains(lower(summary), lower(trim(text))))),
+one AS (SELECT query_id, id, min(tier) AS tier, arg_min(score, tier) AS score, arg_min(b, tier) AS b FROM every GROUP BY 1, 2)
+SELECT query_id, id AS entity_id, tier::INT AS tier, round(score, 6) AS score FROM one QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY tier, b DESC, id) <= 20"""
 SQL = {
     "keyword_bm25_topk": _BM25,
+    "tiered_search_scored": _TIERS,
     "exact_name_search": f"WITH {_BATCH}, {_ENT} SELECT query_id, id AS entity_id FROM ent JOIN batch ON lower(name) = lower(trim(text))",
     "like_substring_search": f"""WITH {_ENT}, p(query_id, p) AS (VALUES (1, 'gateway'), (2, 'planner'), (4, 'src/journal'))
 SELECT query_id, id AS entity_id FROM ent, p WHERE contains(lower(name), p) OR contains(lower(content), p) OR contains(lower(summary), p)""",
