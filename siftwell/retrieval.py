@@ -18,18 +18,30 @@ from siftwell.runtime import materialize
 
 
 def keyword_strategy(parsed: DataFrame, entities: DataFrame, limit: int, types: list[str] | None = None) -> DataFrame:
-    """query_id, entity_id, score: the query itself at 1 / rank, its mentions at 1.5 (five hits each), its synonyms at 0.5 / rank."""
-    pool = entities if not types or len(types) != 1 else entities.where(F.col("type") == types[0])
-    main = search.tiered(pool, parsed.select("query_id", F.col("normalized").alias("text")), 2 * limit)
-    out = main.select("query_id", F.col("doc").alias("entity_id"), (1 / F.col("rank")).alias("score"))
-    sep = F.lit("\u0001")  # parts of a query get a key of their own while they are searched for
-
-    def part(words, factor: float, most: int, ranked: bool) -> DataFrame:
-        q = parsed.select(F.col("query_id").alias("_q"), F.posexplode(words).alias("_i", "text")).select("_q", F.concat(F.col("_q").cast("string"), sep, F.col("_i").cast("string")).alias("query_id"), "text")
-        hits = search.tiered(entities, q.select("query_id", "text"), most).join(q.select("query_id", "_q"), "query_id")
-        return hits.select(F.col("_q").alias("query_id"), F.col("doc").alias("entity_id"), (F.lit(factor) / (F.col("rank") if ranked else 1)).alias("score"))
-
-    return out.unionByName(part(F.col("mentions.text"), 1.5, 5, False)).unionByName(part(F.col("expanded"), 0.5, max(1, limit // 2), True))
+    """query_id, entity_id, score: the query itself at 1 / rank, its mentions at 1.5 (five hits each), its synonyms at 0.5 / rank.
+
+    All texts of a batch are searched for at once, under keys of their own. One type restricts the query itself alone.
+    """
+    rows = F.concat(
+        F.array(F.struct(F.col("normalized").alias("text"), F.lit("main").alias("kind"))),
+        F.transform("mentions", lambda m: F.struct(m["text"].alias("text"), F.lit("mention").alias("kind"))),
+        F.transform("expanded", lambda w: F.struct(w.alias("text"), F.lit("synonym").alias("kind"))),
+    )
+    q = parsed.select(F.col("query_id").alias("_q"), F.posexplode(rows).alias("_i", "r"))
+    q = materialize(q.select("_q", F.concat_ws("\u0001", F.col("_q").cast("string"), F.col("_i").cast("string")).alias("query_id"), "r.text", "r.kind"))
+    most = {"main": 2 * limit, "mention": 5, "synonym": max(1, limit // 2)}
+    restricted = types if types and len(types) == 1 else None
+
+    def hits(asked: DataFrame, pool: DataFrame, n: int) -> DataFrame:
+        return search.tiered(pool, asked.select("query_id", "text"), n).join(asked.select("query_id", "_q", "kind"), "query_id")
+
+    if restricted:
+        found = hits(q.where("kind = 'main'"), entities.where(F.col("type").isin(restricted)), most["main"]).unionByName(hits(q.where("kind <> 'main'"), entities, max(5, most["synonym"])))
+    else:
+        found = hits(q, entities, max(most.values()))
+    allowed = F.create_map(*[F.lit(x) for kv in most.items() for x in kv])[F.col("kind")]
+    score = F.when(F.col("kind") == "mention", 1.5).when(F.col("kind") == "main", 1 / F.col("rank")).otherwise(0.5 / F.col("rank"))
+    return found.where(F.col("rank") <= allowed).select(F.col("_q").alias("query_id"), F.col("doc").alias("entity_id"), score.alias("score"))
 
 
 def semantic_strategy(parsed: DataFrame, store: DataFrame, make: Callable[[], providers.EmbeddingProvider], limit: int, model: str | None = None) -> DataFrame:
