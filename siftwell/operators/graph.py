@@ -128,8 +128,8 @@ def shortest_path(edges: DataFrame, pairs: DataFrame) -> DataFrame:
         )
         one = reached.groupBy("start", "node").agg(F.min_by(F.struct("path", "_o"), F.col("_o")).alias("x")).select("start", "node", "x.path", "x._o")
         frontier = materialize(one.join(seen, ["start", "node"], "left_anti"))
-        seen = materialize(seen.unionByName(frontier.select("start", "node", "path")))
-        open_ = materialize(open_.join(seen.select("start", F.col("node").alias("goal")), ["start", "goal"], "left_anti"))
+        seen = seen.unionByName(frontier.select("start", "node", "path"))
+        open_ = materialize(open_.join(frontier.select("start", F.col("node").alias("goal")), ["start", "goal"], "left_anti"))
         frontier = frontier.join(open_.select("start").distinct(), "start", "left_semi")
         if frontier.isEmpty():
             break
