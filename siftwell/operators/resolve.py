@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftwell.operators.joins import lookup
+from siftwell.operators.vectors import dot, similar_pairs
 from siftwell.runtime import materialize
 
 #: Suffixes that an import path may lack, in the order in which they are tried.
@@ -67,21 +69,42 @@ def duplicate_groups(pairs: DataFrame, threshold: float = 0.85) -> DataFrame:
     """id, primary_id of similar pairs (a, b, score): greedy in the order of ids. An entity that no lesser primary has
     taken becomes a primary and takes its similar entities that are not taken yet.
 
-    Round by round the entities that have no undecided lesser neighbour are decided, which gives the
-    greedy result without a sequential pass.
+    Round by round the entities that have no undecided lesser neighbour take their neighbours, which gives the
+    entities that a sequential pass takes. All others are primaries, and the least of them takes an entity.
     """
     e = pairs.where((F.col("score") >= threshold) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
-    e = materialize(e)
-    out = None
+    every = e = materialize(e)
+    lost = None
     while not e.isEmpty():
-        ids = e.select(F.explode(F.array("lo", "hi")).alias("id")).distinct()
-        primary = materialize(ids.join(e.select(F.col("hi").alias("id")).distinct(), "id", "left_anti"))
-        taken = materialize(e.join(primary.select(F.col("id").alias("lo")), "lo").groupBy(F.col("hi").alias("id")).agg(F.min("lo").alias("primary_id")))
-        step = taken.unionByName(primary.join(taken.select(F.col("primary_id").alias("id")).distinct(), "id", "left_semi").select("id", F.col("id").alias("primary_id")))
-        out = step if out is None else out.unionByName(step)
-        gone = primary.unionByName(taken.select("id"))
+        primary = e.select(F.col("lo").alias("id")).distinct().join(e.select(F.col("hi").alias("id")).distinct(), "id", "left_anti")
+        primary = materialize(primary)
+        taken = materialize(e.join(primary.select(F.col("id").alias("lo")), "lo").select(F.col("hi").alias("id")).distinct())
+        lost = taken if lost is None else lost.unionByName(taken)
+        gone = primary.unionByName(taken)
         e = materialize(e.join(gone.select(F.col("id").alias("lo")), "lo", "left_anti").join(gone.select(F.col("id").alias("hi")), "hi", "left_anti"))
-    return out if out is not None else pairs.select(F.col("a").alias("id"), F.col("a").alias("primary_id")).limit(0)
+    if lost is None:
+        return pairs.select(F.col("a").alias("id"), F.col("a").alias("primary_id")).limit(0)
+    led = every.join(lost.select(F.col("id").alias("lo")), "lo", "left_anti")
+    led = materialize(led.groupBy(F.col("hi").alias("id")).agg(F.min("lo").alias("primary_id")))
+    return led.unionByName(led.select(F.col("primary_id").alias("id"), "primary_id").distinct())
+
+
+def vector_groups(vectors: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """As ``duplicate_groups``, of all pairs of ``vectors`` (entity_id, embedding) at or above the threshold.
+
+    Entities with the same usable vectors have the same similar entities and go to the same primary, so that of each
+    such class only the least id is compared; a class of copies is a group, however large, without its pairs.
+    """
+    square = dot(F.col("embedding"), F.col("embedding"))
+    v = vectors.where(F.col("entity_id").isNotNull() & (square > 0) & (square < float("inf")))
+    own = v.groupBy("entity_id").agg(F.sort_array(F.collect_set("embedding")).alias("set"))
+    own = materialize(own.select("entity_id", "set", F.sha2(F.to_json("set"), 256).alias("class")))
+    classes = materialize(own.groupBy("class").agg(F.min("entity_id").alias("id"), F.count("*").alias("n")))
+    least = own.join(classes.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").select("entity_id", F.explode("set").alias("embedding"))
+    groups = duplicate_groups(similar_pairs(least, threshold), threshold)
+    led = classes.join(groups, "id", "left").withColumn("primary_id", F.coalesce("primary_id", F.when(F.col("n") > 1, F.col("id"))))
+    led = materialize(led.where("primary_id is not null").select("class", "primary_id", "n"))
+    return lookup(own.select("class", F.col("entity_id").alias("id")), led, ["class"], "n").select("id", "primary_id")
 
 
 def merge(entities: DataFrame, groups: DataFrame) -> DataFrame:

@@ -136,8 +136,8 @@ def semantic_links(spark, d):
 
 
 def duplicate_groups(spark, d):
-    s = _similar(spark, d)
-    return resolve.duplicate_groups(s.select(F.col("entity_id").alias("a"), F.col("other").alias("b"), "score"), 0.4)
+    e = read(spark, d, "embeddings")
+    return resolve.vector_groups(e.select(F.col("vec_id").cast("string").alias("entity_id"), "embedding"), 0.4)
 
 
 def reference_resolution(spark, d):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftwell import schemas
 from siftwell.operators import analytics, changes, chunks, context, documents, entities, fusion, graph, joins, messages, resolve, search, vectors
 from siftwell.operators.components import components
+from siftwell.plans import graph_queries
 
 T = [dt.datetime(2024, 1, i + 1) for i in range(20)]
 
@@ -221,6 +222,38 @@ def test_duplicate_groups_are_greedy(spark):
     assert got == {k: v for k, v in want.items() if v is not None}
 
 
+def test_duplicates_go_to_the_least_primary(spark, rows):
+    # 3 becomes a primary a round before 2, which waits for 1 to be taken
+    pairs = [("0", "1", 0.9), ("1", "2", 0.9), ("2", "9", 0.9), ("3", "9", 0.9), ("3", "4", 0.9)]
+    got = rows(resolve.duplicate_groups(spark.createDataFrame(pairs, "a string, b string, score double")))
+    assert got == [("0", "0"), ("1", "0"), ("2", "2"), ("3", "3"), ("4", "3"), ("9", "2")]
+
+
+def greedy(x, least):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s, want = u @ u.T, {}
+    for i in sorted(range(len(x)), key=str):
+        took = {j for j in range(len(x)) if str(j) > str(i) and j not in want and s[i, j] >= least}
+        if i not in want and took:
+            want.update(dict.fromkeys(took | {i}, i))
+    return {(str(i), str(p)) for i, p in want.items()}
+
+
+def test_duplicate_groups_of_large_families(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((90, 32))
+    x[10:35] = x[10] + 0.3 * rng.standard_normal((25, 32))
+    x[40:60] = x[40]
+    x[60:80] = x[60] + 0.9 * rng.standard_normal((20, 32))
+    x[80] = 2 * x[40]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(90, [0.0] * 32), (91, None), (92, [0.0] * 32)], "vec_id long, embedding array<float>")
+    df.unionByName(df.where("vec_id = 5")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = greedy(x.astype(np.float32).astype(float), 0.4)
+    assert len(want) > 60
+    assert set(rows(graph_queries.duplicate_groups(spark, str(tmp_path)))) == want
+
+
 def test_reference_resolution(spark, rows, five):
     refs = spark.createDataFrame([("a", "src/auth.ts::login"), ("b", "src/auth.ts"), ("c", "UserStore"), ("d", "logout()"), ("e", "nope"), ("f", None)], "ref_id string, text string")
     assert rows(resolve.references(refs, five)) == [("a", "1", 1), ("b", "4", 2), ("c", "3", 3), ("d", "2", 4)]
