@@ -19,7 +19,7 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(ok, dot(a, b) / norm), F.lit(0.0))
 
 
-#: Most query vectors of a batch; they travel to every task (64 MB at 1,024 doubles).
+#: Most query vectors that travel to every task (64 MB at 1,024 doubles).
 QUERIES = 8_192
 #: Query vectors that are compared with a batch of rows at once.
 AT_ONCE = 512
@@ -70,8 +70,8 @@ def knn(
 ) -> DataFrame:
     """query_id, entity_id, score, rank: the ``k`` entities whose best chunk is most similar to each query vector.
 
-    ``vectors``: entity_id, embedding (model_id). ``queries``: query_id, vector; at most QUERIES, the
-    query batch being what is broadcast. ``allowed`` (entity_id) and ``model`` restrict
+    ``vectors``: entity_id, embedding (model_id). ``queries``: query_id, vector; up to QUERIES are
+    broadcast, more meet the rows in blocks of bounded size. ``allowed`` (entity_id) and ``model`` restrict
     before the search, so nothing is lost. Unusable vectors (null, zero, other length) score 0.
     """
     v = vectors.where(F.col("entity_id").isNotNull())
@@ -83,19 +83,35 @@ def knn(
     schema = f"query_id {qtype}, entity_id {etype}, score double"
     asked = q.limit(QUERIES + 1).collect()
     if len(asked) > QUERIES:
-        raise ValueError(f"at most {QUERIES} query vectors at once")
-    shared = vectors.sparkSession.sparkContext.broadcast(_by_size([r.query_id for r in asked], [r.vector for r in asked]))
+        scored = _in_blocks(v, q, k, threshold, schema)
+    else:
+        shared = vectors.sparkSession.sparkContext.broadcast(_by_size([r.query_id for r in asked], [r.vector for r in asked]))
 
-    def score(batches):
-        for b in batches:
-            yield from _best(b, shared.value, k, threshold)
+        def score(batches):
+            for b in batches:
+                yield from _best(b, shared.value, k, threshold)
 
-    scored = v.mapInPandas(score, schema)
+        scored = v.mapInPandas(score, schema)
     best = scored.groupBy("query_id", "entity_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("entity_id"))
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _in_blocks(v: DataFrame, q: DataFrame, k: int, threshold: float, schema: str) -> DataFrame:
+    """Candidates as of ``_best``, every block of queries having met every block of rows."""
+    v, q = v.where(F.size("embedding") > 0).distinct(), q.where(F.size("vector") > 0).distinct()
+    rows, crowds = (max(1, -(-d.count() // BLOCK)) for d in (v, q))
+    part, every = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = v.withColumn("block", part(rows, "entity_id", "embedding")).withColumn("crowd", every(crowds))
+    right = q.withColumn("crowd", part(crowds, "query_id", "vector")).withColumn("block", every(rows))
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        found = list(_best(x, _by_size(y["query_id"].tolist(), y["vector"].tolist()), k, threshold)) if len(x) and len(y) else []
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "entity_id": [], "score": []})
+
+    return left.groupBy("block", "crowd").cogroup(right.groupBy("block", "crowd")).applyInPandas(meet, schema)
+
+
 def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     """a, b, score: every pair of entities (a < b) whose most similar chunks have a cosine of at least ``threshold``, above 0.
 

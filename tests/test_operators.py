@@ -112,6 +112,18 @@ def test_knn(spark, rows):
     assert [r.c for r in a.select(vectors.cosine(F.col("a"), F.col("b")).alias("c")).collect()] == [0, 0, pytest.approx(1)]
 
 
+def test_knn_of_more_queries_than_are_broadcast(spark, rows, monkeypatch):
+    x = np.random.default_rng(2).standard_normal((90, 8)).tolist()
+    v = spark.createDataFrame([(f"e{i // 2}", r) for i, r in enumerate(x)] + [("e0", x[0]), ("z", [0.0] * 8), ("n", None)], "entity_id string, embedding array<double>")
+    q = spark.createDataFrame([(i, r) for i, r in enumerate(x)] + [(90, None), (91, [1.0])], "query_id int, vector array<double>")
+    cols = "query_id", "entity_id", F.round("score", 9), "rank"
+    want = rows(vectors.knn(v, q, 5), *cols)
+    monkeypatch.setattr(vectors, "QUERIES", 20)
+    monkeypatch.setattr(vectors, "BLOCK", 16, raising=False)
+    assert len(want) == 450
+    assert rows(vectors.knn(v, q, 5), *cols) == want
+
+
 def test_fusion_rerank_confidence(spark, five):
     res = spark.createDataFrame([(0, "1", 0.9, "keyword"), (0, "2", 0.8, "keyword"), (0, "1", 0.1, "keyword"), (0, "3", 0.9, "semantic"), (0, "1", 0.5, "semantic")], "query_id int, entity_id string, score double, source string")
     r = {x.entity_id: x for x in fusion.rrf(res).collect()}
