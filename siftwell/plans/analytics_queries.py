@@ -146,6 +146,11 @@ def transcript(spark, d):
     return M.transcript(x, 8000).select("session_id", F.md5("transcript").alias("transcript_md5"))
 
 
+def transcript_whole(spark, d):
+    """Whole sessions; messages without a time or position come first, as everywhere in the order of messages."""
+    return M.transcript(msgs(spark, d))
+
+
 def latest_n_per_session(spark, d):
     r = read(spark, d, "reflections").where("session_id is not null").dropDuplicates(["id"])
     return E.keep_latest(r, "session_id", [F.col("created_at").desc(), F.col("id")], 3).select("session_id", "id")
@@ -247,7 +252,7 @@ QUERIES = {
         entity_type_stats, coverage_by_type, summary_coverage, vectors_by_model, orphans_anti, exists_semi, stale_vectors, entities_to_embed,
         health_report, session_stats, count_per_session_left, memory_tier_status, memory_spill_candidates, memory_prune_cold, feedback_stats,
         feedback_most_helpful, feedback_most_ignored, feedback_adjusted_scores, reflection_summary, reflection_common_failures,
-        message_recent_k, conversation_pairs, transcript, latest_n_per_session, next_attempt, current_session, due_for_summary,
+        message_recent_k, conversation_pairs, transcript, transcript_whole, latest_n_per_session, next_attempt, current_session, due_for_summary,
         decision_language_filter, intent_detect, gate_flags, content_hash_changes, duplicate_text_groups, line_range_merge,
         split_identifier, estimate_tokens, query_keywords, bigram_name_similarity, json_prop_filter, impact_risk_score,
         documents_by_language, chunk_count_estimate,

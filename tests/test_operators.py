@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftwell import schemas
 from siftwell.operators import analytics, changes, chunks, context, documents, entities, fusion, graph, joins, messages, resolve, search, vectors
 from siftwell.operators.components import components
-from siftwell.plans import graph_queries
+from siftwell.plans import analytics_queries, graph_queries
 
 T = [dt.datetime(2024, 1, i + 1) for i in range(20)]
 
@@ -298,6 +298,13 @@ def test_messages(spark, rows):
     assert m.select(messages.may_decide(F.lit("Let's use Redis")).alias("x")).first().x
 
 
+def test_whole_transcripts(spark, rows, tmp_path):
+    data = [(f"{i:04}", "s", i, "user", "word " * 20, None, T[0]) for i in range(200)] + [("a", "s", None, "user", "no place", None, T[1]), ("b", "s", 3, "user", "no time", None, None)]
+    spark.createDataFrame(data, schemas.MESSAGES).write.parquet(f"{tmp_path}/messages.parquet")
+    got = analytics_queries.transcript_whole(spark, str(tmp_path)).first().transcript.split("\n\n")
+    assert len(got) == 202 and got[0] == "user: no time" and got[-1] == "user: no place"
+
+
 def test_memory(spark, rows):
     data = [(f"{i}", "s", "text about redis" if i == 5 else "x", "fact", t, a, None, T[i], r, 1500, {}, None) for i, (t, a, r) in enumerate([("hot", 5, 0.1), ("hot", 0, 0.2), ("hot", 1, 0.9), ("cold", 0, 0.5), ("cold", 9, 0.1), ("warm", 0, 0.5)])]
     m = spark.createDataFrame(data, schemas.MEMORY)
