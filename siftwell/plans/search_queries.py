@@ -99,9 +99,9 @@ def _embeddings(spark, d):
     return read(spark, d, "embeddings")
 
 
-def _questions(spark, d):
+def _questions(spark, d, which="vec_id < 20"):
     e = _embeddings(spark, d)
-    return e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return e.where(which).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def knn_topk(spark, d):
@@ -121,6 +121,27 @@ def knn_type_filter(spark, d):
     return vectors.knn(x, _questions(spark, d), 10, threshold=0.05, allowed=allowed).select("query_id", "entity_id", r6("score").alias("score"), "rank")
 
 
+#: The query set that grows with the table; the SQL of the three queries above has the first 20 ids.
+_FIFTIETH = "vec_id % 50 = 0"
+
+
+def knn_topk_fiftieth(spark, d):
+    e = _embeddings(spark, d).select(F.col("vec_id").alias("entity_id"), "embedding")
+    return vectors.knn(e, _questions(spark, d, _FIFTIETH), 10).select("query_id", "entity_id", r6("score").alias("score"), "rank")
+
+
+def knn_best_chunk_dedup_fiftieth(spark, d):
+    e = _embeddings(spark, d).select(F.floor(F.col("vec_id") / 4).alias("entity_id"), "embedding")
+    return vectors.knn(e, _questions(spark, d, _FIFTIETH), 10).select("query_id", "entity_id", r6("score").alias("score"), "rank")
+
+
+def knn_type_filter_fiftieth(spark, d):
+    e = _embeddings(spark, d)
+    allowed = e.where("label in (1, 2)").select(F.col("vec_id").alias("entity_id"))
+    x = e.select(F.col("vec_id").alias("entity_id"), "embedding")
+    return vectors.knn(x, _questions(spark, d, _FIFTIETH), 10, threshold=0.05, allowed=allowed).select("query_id", "entity_id", r6("score").alias("score"), "rank")
+
+
 def _knn_sql(entity: str, where: str = "true", threshold: float = -1.0) -> str:
     return f"""
 WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 20),
@@ -227,7 +248,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         keyword_bm25_topk, tiered_search_scored, exact_name_search, like_substring_search, term_and_search, message_search_stemmed, knn_topk,
-        knn_best_chunk_dedup, knn_type_filter, rrf_fusion, heuristic_rerank, confidence_topk_decay, token_budget_prefix, budget_greedy_skip,
+        knn_best_chunk_dedup, knn_type_filter, knn_topk_fiftieth, knn_best_chunk_dedup_fiftieth, knn_type_filter_fiftieth, rrf_fusion,
+        heuristic_rerank, confidence_topk_decay, token_budget_prefix, budget_greedy_skip,
         context_assemble, context_query, context_expansion, query_parse,
     )
 }

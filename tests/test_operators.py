@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftwell import schemas
 from siftwell.operators import analytics, changes, chunks, context, documents, entities, fusion, graph, joins, messages, resolve, search, vectors
 from siftwell.operators.components import components
-from siftwell.plans import analytics_queries, graph_queries
+from siftwell.plans import analytics_queries, graph_queries, search_queries
 
 T = [dt.datetime(2024, 1, i + 1) for i in range(20)]
 
@@ -124,6 +124,13 @@ def test_knn_of_more_queries_than_are_broadcast(spark, rows, monkeypatch):
     assert rows(vectors.knn(v, q, 5), *cols) == want
 
 
+def test_knn_queries_are_a_fiftieth_of_the_ids(spark, tmp_path):
+    x = np.random.default_rng(4).standard_normal((160, 8)).tolist()
+    spark.createDataFrame([(i, r, i % 3) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for f in (search_queries.knn_topk_fiftieth, search_queries.knn_best_chunk_dedup_fiftieth, search_queries.knn_type_filter_fiftieth):
+        assert {r.query_id for r in f(spark, str(tmp_path)).collect()} == {0, 50, 100, 150}
+
+
 def test_fusion_rerank_confidence(spark, five):
     res = spark.createDataFrame([(0, "1", 0.9, "keyword"), (0, "2", 0.8, "keyword"), (0, "1", 0.1, "keyword"), (0, "3", 0.9, "semantic"), (0, "1", 0.5, "semantic")], "query_id int, entity_id string, score double, source string")
     r = {x.entity_id: x for x in fusion.rrf(res).collect()}
