@@ -26,3 +26,20 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], weight: str) -> D
     if not rows:
         return cold
     return cold.unionByName(left.join(F.broadcast(right.where(is_hot).drop(weight)), keys))
+
+
+def spread(left: DataFrame, right: DataFrame, key: str, weights: DataFrame, by: str) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row per ``key``; for rows too large to be broadcast.
+
+    ``weights``: key and in ``_n`` about how many left rows it has (a stored table). The right row of a key with more than
+    1/200 of the weight is copied, and the left rows of the key are dealt to the copies by the hash of ``by``, so that
+    no task gets all of them. There are fewer than 200 such keys and no more than 400 copies of rows in all.
+    """
+    total = weights.agg(F.sum("_n")).first()[0] or 0
+    hot = weights.where(F.col("_n") * HOT > total).select(key, F.ceil(F.col("_n") * HOT / total).cast("int").alias("_c"))
+    spark = left.sparkSession
+    few = F.broadcast(spark.createDataFrame(hot.collect(), hot.schema))  # fewer than HOT rows
+    copies = F.coalesce("_c", F.lit(1))
+    dealt = left.join(few, key, "left").withColumn("_d", F.pmod(F.xxhash64(by), copies).cast("int")).drop("_c")
+    copied = right.join(few, key, "left").withColumn("_d", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_c")
+    return dealt.join(copied, [key, "_d"]).drop("_d")
