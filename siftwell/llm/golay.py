@@ -4,11 +4,14 @@ The binary Golay code (23, 12) is perfect: every 23-bit word lies within 3 bits
 of its 4096 codewords. A word's keys are the codewords its neighbours within one bit decode to,
 1 or 6 of them; any two words up to 2 bits apart have a key in common.
 
-A record's fingerprint has a segment for each of its ``SEGMENTS`` least shingle hashes: the
-segment is anchored at the shingle and holds 23 majority bits of the words around it, so that
-insertions and moved passages do not shift it. Few small edits leave most segments with few
-errors (pigeonhole), so that near-copies meet in an anchor and a Golay key, several times over.
-Pairs that meet are verified by their sets of shingles.
+A record's fingerprint is made of windows of twelve words, laid around the first occurrences of its
+``WINDOWS`` words of least hash, so that insertions and moved passages do not shift them. A window is
+three segments of four words; a segment is a 23-bit word to which each of its words gives six bits (the
+last one five). Errors are dealt with by the pigeonhole principle: where a window differs in one segment
+only, the other two agree, and an edit of few bits in the third leaves it a codeword in common. So a
+window's keys are, for each of its segments, the nearby codeword indices of that segment together with
+the indices and syndromes of the other two: 3 to 18 keys of 60 bits. The words that place a window are no part of its keys.
+Records that meet in a key are verified by their sets of shingles.
 """
 
 from __future__ import annotations
@@ -23,14 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.operators.joins import lookup
+from siftwell.operators.joins import lookup, spread
 from siftwell.runtime import materialize
 
 #: Generator polynomial of the code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
-#: Segments of a fingerprint, words of an anchor, words on either side of the anchor that a segment covers, anchors at
-#: which a pair has to meet (1 or 2).
-SEGMENTS, ANCHOR, AROUND, MEETINGS = 12, 6, 2, 2
+#: Windows of a fingerprint, segments of a window, words of a segment.
+WINDOWS, PARTS, RUN = 6, 3, 4
 #: Words hashed at once.
 STRIP = 1 << 19
 _WORD = re.compile(r"[^\W_]+")
@@ -74,6 +76,23 @@ def keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(first)[0], near[first]
 
 
+def window_keys(parts: np.ndarray, near: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of windows given as three 23-bit words each: (number of the window, key).
+
+    With ``near`` off a segment has only the index that it decodes to itself.
+    """
+    nth, out = [], []
+    for k in range(PARTS):
+        if near:
+            n, index = keys(parts[:, k])
+        else:
+            n, index = np.arange(len(parts)), decode(parts[:, k])
+        x, y = (parts[n, j] for j in range(PARTS) if j != k)
+        nth.append(n)
+        out.append(k << 58 | x << 35 | y << 12 | index)
+    return np.concatenate(nth), np.concatenate(out)
+
+
 def mix(x: np.ndarray, m: int = 0) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _MIX[m]
     return x ^ (x >> np.uint64(29))
@@ -109,9 +128,9 @@ class Words:
             h = (h ^ (h >> np.uint64(32))) * _MIX[0] + self.hash[at + k] * _MIX[5]
         return (owner.astype(np.uint64) << np.uint64(44)) | (mix(h, 2) >> np.uint64(20)), at
 
-    def segments(self, most: int = SEGMENTS, around: int = AROUND, width: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Owner, anchor and 23 bits of each fingerprint segment: of the ``most`` least shingle hashes of each record."""
-        code, at = self.shingles(width)
+    def windows(self, most: int = WINDOWS) -> tuple[np.ndarray, np.ndarray]:
+        """Owner and the three 23-bit words of each window of the fingerprint; bits of words beyond the record's ends are 0."""
+        code, at = self.shingles(1)
         owner = (code >> np.uint64(44)).astype(np.int64)
         size = np.bincount(owner, minlength=len(self.length))
         # hashes are even, so that a low enough part of them holds the least ones; records for which it doesn't are taken whole
@@ -130,16 +149,16 @@ class Words:
                 break
             low |= short[owner]
         rank = np.arange(len(c)) - (np.cumsum(count) - count)[own]
-        c, p, own = c[rank < most], p[rank < most], own[rank < most]
-        votes = np.zeros((len(c), 23), dtype=np.int8)
+        p, own = p[rank < most], own[rank < most]
         lo, hi = self.start[own], self.start[own] + self.length[own]
-        bits = np.arange(23, dtype=np.uint64)[None, :]
-        for k in range(-around, width + around):
-            q = p + k
-            ok = (q >= lo) & (q < hi)
-            w = mix(self.hash[np.where(ok, q, 0)], 1)
-            votes += np.where(ok[:, None], ((w[:, None] >> bits) & np.uint64(1)).astype(np.int8) * 2 - 1, 0).astype(np.int8)
-        return own, c & _LOW, (votes > 0) @ (1 << np.arange(23))
+        parts = np.zeros((len(p), PARTS), dtype=np.int64)
+        for k in range(PARTS * RUN):
+            q = p + k - PARTS * RUN // 2
+            w = mix(self.hash[np.clip(q, 0, len(self.hash) - 1)], 1) >> np.uint64(40)
+            nth, bits = k % RUN, 23 // RUN + (k % RUN < 23 % RUN)
+            at_bit = nth * (23 // RUN) + min(nth, 23 % RUN)
+            parts[:, k // RUN] |= np.where((q >= lo) & (q < hi), w.astype(np.int64) & ((1 << bits) - 1), 0) << at_bit
+        return own, parts
 
 
 class Sets:
@@ -168,6 +187,8 @@ def words(text: str) -> list[str]:
 #: A key met by more records than BUCKET is left to the prefix filter; one that holds over HOT_SHARE of the
 #: records of any strip, and over 1/HOT_KEYS of all, is taken out before anything is shuffled.
 BUCKET, HOT_SHARE, HOT_KEYS = 200, 0.02, 500
+#: Sets that share a shingle and are compared by one task, in the prefix filter.
+HOLDERS = 512
 #: Sets that a task remembers, so that copies among them send no keys.
 REMEMBERED = 1 << 20
 
@@ -189,7 +210,7 @@ def _strips(ids: list, texts: list[str], least: int) -> Iterator[tuple[list, lis
         yield held_ids, held
 
 
-def sketches(records: DataFrame, width: int, least: int) -> DataFrame:
+def sketches(records: DataFrame, width: int, least: int, near: bool = True) -> DataFrame:
     """id, c1, c2 (128 bits of the record's shingle set), n (its size), keys (null for copies that the task met before).
 
     Rows without an id carry a key in c1 that is hot in one strip and its count there in c2.
@@ -202,11 +223,10 @@ def sketches(records: DataFrame, width: int, least: int) -> DataFrame:
                 w = Words(texts)
                 sh = Sets(w, width)
                 c1, c2 = sh.digest()
-                owner, base, bits = w.segments()
-                nth, code = keys(bits)
-                # the low 16 bits are the anchor's, so that meetings at different anchors can be told apart
-                key = mix((base[nth] << np.uint64(12)) | code.astype(np.uint64), 5) & ~np.uint64(0xFFFF) | (mix(base[nth], 1) & np.uint64(0xFFFF))
-                key = key.view(np.int64)
+                owner, parts = w.windows()
+                nth, key = window_keys(parts, near)
+                order = np.argsort(owner[nth], kind="stable")
+                nth, key = nth[order], key[order]
                 ends = np.searchsorted(owner[nth], np.arange(len(ids) + 1))
                 if len(seen) > REMEMBERED:
                     seen.clear()
@@ -229,7 +249,7 @@ def _meetings(threshold: float, most: int):
         start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         size = np.diff(np.concatenate([start, [len(k)]]))
         big = np.repeat(size > most, size)
-        yield pd.DataFrame({"a": c[big], "b": pd.array([None] * int(big.sum()), dtype="Int64"), "tag": 0})
+        yield pd.DataFrame({"a": c[big], "b": pd.array([None] * int(big.sum()), dtype="Int64")})
         k, c, n = k[~big], c[~big], n[~big]
         d = 1
         while d < len(k):
@@ -239,7 +259,7 @@ def _meetings(threshold: float, most: int):
             x, y = same, same + d
             ok = (c[x] != c[y]) & (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]))
             x, y = x[ok], y[ok]
-            yield pd.DataFrame({"a": np.minimum(c[x], c[y]), "b": pd.array(np.maximum(c[x], c[y]), dtype="Int64"), "tag": (k[x] & 0xFFFF).astype(np.int32)})
+            yield pd.DataFrame({"a": np.minimum(c[x], c[y]), "b": pd.array(np.maximum(c[x], c[y]), dtype="Int64")}).drop_duplicates()
             d += 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -254,7 +274,7 @@ def _meetings(threshold: float, most: int):
             held = [k[cut:], c[cut:], n[cut:]]
             if len(held[0]) > 4 * most:  # a hot key: all but enough of it to stay hot can go
                 over = held[1][2 * most :]
-                yield pd.DataFrame({"a": over, "b": pd.array([None] * len(over), dtype="Int64"), "tag": 0})
+                yield pd.DataFrame({"a": over, "b": pd.array([None] * len(over), dtype="Int64")})
                 held = [h[: 2 * most] for h in held]
         if len(held[0]):
             yield from pairs(*held)
@@ -302,13 +322,15 @@ def _prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
         .select("c1", "n", F.col("x.s").alias("s"))
     )
     ranked = materialize(ranked)
-    x, y = ranked.alias("x"), ranked.alias("y")
-    return (
-        x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.c1") < F.col("y.c1")))
-        .where(F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n"))
-        .select(F.col("x.c1").alias("a"), F.col("y.c1").alias("b"))
-        .distinct()
-    )
+    # a shingle of many sets is cut into blocks of them, and every two blocks meet in a task of their own
+    blocks = F.ceil(F.col("_m") / HOLDERS).cast("int")
+    held = materialize(ranked.groupBy("s").agg(F.count("*").alias("_m")).where("_m > 1"))
+    own = lookup(ranked, held.select("s", F.col("_m").alias("_n"), blocks.alias("_b")), ["s"], "_n").withColumn("_i", F.pmod(F.xxhash64("c1"), F.col("_b")).cast("int"))
+    own = materialize(own)
+    every = F.explode(F.sequence(F.lit(0), F.col("_b") - 1)).alias("_o")
+    x = own.select("s", "c1", "n", "_i", every).select("s", F.col("c1").alias("a"), F.col("n").alias("_na"), F.col("_i").alias("_x"), F.col("_o").alias("_y"))
+    y = own.select("s", "c1", "n", "_i", every).select("s", F.col("c1").alias("b"), F.col("n").alias("_nb"), F.col("_o").alias("_x"), F.col("_i").alias("_y"))
+    return x.join(y, ["s", "_x", "_y"]).where("a < b").where(F.least("_na", "_nb") >= threshold * F.greatest("_na", "_nb")).select("a", "b").distinct()
 
 
 def near_duplicates(
@@ -323,8 +345,8 @@ def near_duplicates(
     are not expanded to the copies. Repeated rows count once; whole texts are compared. An empty table
     gives empty results.
     """
-    if least < max(width, ANCHOR):
-        raise ValueError(f"least must be at least width and {ANCHOR}")
+    if least < width:
+        raise ValueError("least must be at least width")
     spark = records.sparkSession
     rec = records.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
     rows = materialize(sketches(rec, width, least))
@@ -333,28 +355,28 @@ def near_duplicates(
     n_records = classes.agg(F.sum("_n")).first()[0] or 0
     hot = materialize(
         rows.where("id is null").groupBy(F.col("c1").alias("key")).agg(F.sum("c2").alias("k")).where(F.col("k") * HOT_KEYS > n_records).where(F.col("k") > BUCKET).select("key")
-    )  # at most SEGMENTS * 6 * HOT_KEYS keys
+    )  # at most WINDOWS * 18 * HOT_KEYS keys
     flat = ids.where("keys is not null").select(F.explode("keys").alias("key"), "c1", "n")
     met = materialize(
-        flat.join(F.broadcast(hot), "key", "left_anti").repartition("key").sortWithinPartitions("key", "c1").mapInPandas(_meetings(threshold, BUCKET), "a long, b long, tag int")
+        flat.join(F.broadcast(hot), "key", "left_anti").repartition("key").sortWithinPartitions("key", "c1").mapInPandas(_meetings(threshold, BUCKET), "a long, b long")
     )
     crowded = materialize(
         met.where("b is null").select(F.col("a").alias("c1")).unionByName(flat.join(F.broadcast(hot), "key").select("c1")).distinct()
     )
-    often = [F.min("tag").alias("t"), F.max("tag").alias("u")]
-    pairs = met.where("b is not null").groupBy("a", "b").agg(*often).where(F.lit(MEETINGS < 2) | (F.col("t") != F.col("u"))).select("a", "b")
+    pairs = met.where("b is not null").distinct()
     if not crowded.isEmpty():
         some = materialize(classes.join(crowded, "c1").select(F.col("class_id").alias("id"), "c1", "c2"))
         pairs = pairs.unionByName(_prefix_pairs(shingle_sets(rec, some, width), threshold)).distinct()
     pairs = materialize(pairs)
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("c1")).distinct()
-    some = materialize(classes.join(involved, "c1").select(F.col("class_id").alias("id"), "c1", "c2"))
+    involved = materialize(pairs.select(F.explode(F.array("a", "b")).alias("c1")).groupBy("c1").agg(F.count("*").alias("_n")))
+    some = materialize(classes.drop("_n").join(involved.select("c1"), "c1").select(F.col("class_id").alias("id"), "c1", "c2"))
     sets = materialize(shingle_sets(rec, some, width).select("c1", "id", "shingles"))
     both = F.size(F.array_intersect("x", "y"))
+    # the sets of a class with very many partners are copied to several tasks, so that no task has all of its pairs
+    one = spread(pairs, sets.select(F.col("c1").alias("a"), F.col("id").alias("a_id"), F.col("shingles").alias("x")), "a", involved.withColumnRenamed("c1", "a"), "b")
+    two = spread(one, sets.select(F.col("c1").alias("b"), F.col("id").alias("b_id"), F.col("shingles").alias("y")), "b", involved.withColumnRenamed("c1", "b"), "a")
     verified = (
-        pairs.join(sets.select(F.col("c1").alias("a"), F.col("id").alias("a_id"), F.col("shingles").alias("x")), "a")
-        .join(sets.select(F.col("c1").alias("b"), F.col("id").alias("b_id"), F.col("shingles").alias("y")), "b")
-        .select("a_id", "b_id", (both / (F.size("x") + F.size("y") - both)).alias("similarity"))
+        two.select("a_id", "b_id", (both / (F.size("x") + F.size("y") - both)).alias("similarity"))
         .where(F.col("similarity") >= threshold)
         .select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "similarity")
         .distinct()

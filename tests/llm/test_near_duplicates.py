@@ -102,3 +102,34 @@ def test_very_long_record(spark, rows):
     edited = words[:280_000] + ["new"] * 10 + words[280_000:]
     df = spark.createDataFrame([("a", " ".join(words)), ("b", " ".join(edited)), ("c", "x")], "id string, text string")
     assert rows(G.near_duplicates(df, "id", "text")[1], "a", "b") == [("a", "b")]
+
+
+def met(texts, near):
+    """Pairs of records that share a key, and those whose meeting windows all differ somewhere."""
+    w = G.Words([G.words(t) for t in texts])
+    owner, parts = w.windows()
+    nth, key = G.window_keys(parts, near)
+    held = {}
+    for k, i in zip(key.tolist(), nth.tolist()):
+        held.setdefault(k, set()).add(i)
+    pairs, same = set(), set()
+    for windows in held.values():
+        for i in windows:
+            for j in windows:
+                if owner[i] < owner[j]:
+                    pairs.add((owner[i], owner[j]))
+                    if (parts[i] == parts[j]).all():
+                        same.add((owner[i], owner[j]))
+    return pairs, pairs - same
+
+
+def test_neighbouring_codewords_bring_more_records_together():
+    rng = random.Random(8)
+    texts = []
+    for _ in range(150):  # every eighth word or so of the copy is another one
+        words = [f"w{rng.randrange(3000)}" for _ in range(60)]
+        texts += [" ".join(words), " ".join(f"x{rng.randrange(3000)}" if rng.random() < 0.13 else w for w in words)]
+    more, different = met(texts, True)
+    fewer, _ = met(texts, False)
+    assert fewer < more and len(more) >= len(fewer) + 15
+    assert len(different) >= 15  # they meet though no window of the two is the same
