@@ -1,12 +1,12 @@
-"""Long exact spans that documents share, by fixed-block anchors.
-
-Every text is cut into non-overlapping blocks of half the least length, so that a stretch of
-that length holds a whole block of either text. The blocks are the index; every rolling window
-of a block's size probes it. Windows go through a filter of bounded size made of all blocks
-before any of them is shuffled, and a hash met in two different texts, in one of them as a
-block, is an anchor. Around the anchors every stretch of the least length is compared by a
-64-bit hash, which extends them to the maximal repeats without ever pairing documents. Only
-texts that hold an anchor are read again.
+"""Long exact spans that documents share, by anchors at fixed-size blocks.
+
+A stretch of the least length holds many blocks of half that length. The one of least hash is its anchor: both
+sides choose it by content, so that a stretch and its repeat have the same one wherever they lie. The index holds
+only the blocks that are the anchor of some stretch, about one for every 50 characters whatever the size of the
+corpus; every rolling window of a block's size takes part in the choice and so probes the index, but only
+the chosen ones are shuffled. A block found as an anchor in two different texts is a hit. Hits are extended to the maximal repeats by
+comparing the stretches of which the block is the anchor, each by its own 64 bits next to the 64 bits of its
+anchor, without ever pairing documents. Only texts that hold a hit are read again.
 """
 
 from __future__ import annotations
@@ -22,10 +22,8 @@ from pyspark.sql import functions as F
 from siftwell.operators.joins import lookup
 from siftwell.runtime import materialize
 
-#: Characters hashed at once, and the largest filter in bits (64 MB). A fuller filter lets more windows pass; the result stays the same.
+#: Characters hashed at once, and the largest filter of keys in bits (64 MB). A fuller filter lets more keys pass; the result stays the same.
 STRIP, MOST_BITS = 1 << 20, 1 << 29
-#: Documents that hold an anchor up to which their keys are broadcast as they are, instead of as a filter.
-FEW = 200_000
 #: Multipliers of the rolling hashes (any odd numbers).
 _SEEDS = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
@@ -64,6 +62,22 @@ class Strip:
         x *= np.uint64(0xD6E8FEB86659FD93)
         return x ^ (x >> np.uint64(32))
 
+    def anchors(self, block: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of all stretches of ``width`` that lie within one text, and for each the place of its block of least hash (the first of equals)."""
+        n = width - block + 1
+        starts = np.flatnonzero(self.valid(width))
+        if not len(starts):
+            return starts, starts
+        h = self.hashes(slice(None), block)
+        low = np.uint64(22)  # a strip has fewer than 2**22 places
+        v = (h >> low) << low | np.arange(len(h), dtype=np.uint64)
+        # least value of every n in a row: the end of one stretch of n numbers and the beginning of the next
+        rows = np.concatenate([v, np.full(-len(v) % n, np.uint64(0xFFFFFFFFFFFFFFFF))]).reshape(-1, n)
+        after = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+        before = np.minimum.accumulate(rows, axis=1).ravel()
+        least = np.minimum(after[starts], before[starts + n - 1])
+        return starts, (least & np.uint64((1 << 22) - 1)).astype(np.int64)
+
     def valid(self, width: int) -> np.ndarray:
         """True where a window of ``width`` lies within one stretch."""
         n = len(self.chars) - width + 1
@@ -151,11 +165,12 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 200) -> DataFr
     exactly the same, in another document.
 
     Keys must be unique. Null texts and those shorter than ``least`` share nothing; repeats within one
-    document do not count; texts are compared whole, by 64-bit hashes over their code points. Documents with the same text are
-    shared from end to end (if long enough) and otherwise count as one. An empty table gives an empty result.
+    document do not count; texts are compared whole, by two 64-bit hashes over their code points (of the stretch and of its
+    anchor). Documents with the same text are shared from end to end (if long enough) and otherwise count as one.
+    A text that repeats one character has an anchor at each place. An empty table gives an empty result.
 
     Counts per hash are pre-aggregated before each shuffle, so a passage in a third of all documents is
-    no hot spot.
+    no hot spot. What is shuffled is a fixed share of the text, whatever the size of the corpus.
     """
     if not 2 <= least <= STRIP:
         raise ValueError(f"least must be between 2 and {STRIP}")
@@ -163,36 +178,26 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 200) -> DataFr
     block = least // 2
     name, key = key, "_key"
     docs = df.where(F.length(text) >= least).select(F.col(name).alias(key), F.col(text).alias("_text"), *_classes(F.col(text)))
-    n_blocks = docs.agg(F.sum(F.floor(F.length("_text") / block))).first()[0] or 0
     ktype = df.schema[name].dataType.simpleString()
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for s in strips(b["_text"].tolist(), block):
-                yield pd.DataFrame({"h": s.hashes(_block_places(s, block), block).view(np.int64)})
-
-    index = spark.sparkContext.broadcast(Filter.build(docs.select("_text").mapInPandas(blocks, "h long"), n_blocks).words)
-
-    def probes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Filter(index.value)
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             cls, keys = b["_c1"].to_numpy(), b[key].to_numpy()
-            for s in strips(b["_text"].tolist(), block):
-                h = s.hashes(slice(None), block)
-                at = np.flatnonzero(s.valid(block) & known.has(h))
-                own = np.searchsorted(s.start, at, side="right") - 1
-                place = s.offset[own] + at - s.start[own]
-                yield pd.DataFrame({"h": h[at].view(np.int64), "_c1": cls[s.owner[own]], key: keys[s.owner[own]], "at": place.astype(np.int32), "aligned": place % block == 0})
-
-    windows = materialize(docs.select(key, "_text", "_c1").mapInPandas(probes, f"h long, _c1 long, `{key}` {ktype}, at int, aligned boolean"))
-    anchors = materialize(
-        windows.groupBy("h")
-        .agg(F.min("_c1").alias("a"), F.max("_c1").alias("z"), F.max("aligned").alias("aligned"), F.count("*").alias("_n"))
-        .where("a <> z and aligned")
-        .select("h", "_n")
-    )
-    # the places of one document, so never more than it has characters
-    places = materialize(lookup(windows, anchors, ["h"], "_n").groupBy(key).agg(F.collect_set("at").alias("_places")))
+            for s in strips(b["_text"].tolist(), least):
+                start, at = s.anchors(block, least)
+                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])[: len(at)])
+                n = np.diff(np.concatenate([first, [len(at)]]))
+                start, at = start[first], at[first]
+                own = np.searchsorted(s.start, start, side="right") - 1
+                yield pd.DataFrame({"h": s.hashes(at, block).view(np.int64), "_c1": cls[s.owner[own]], key: keys[s.owner[own]], "at": (s.offset[own] + start - s.start[own]).astype(np.int32), "n": n.astype(np.int32)})
+
+    # one row for each run of stretches with the same anchor: its first stretch and how many there are
+    runs = materialize(docs.select(key, "_text", "_c1").mapInPandas(choose, f"h long, _c1 long, `{key}` {ktype}, at int, n int"))
+    hits = materialize(runs.groupBy("h").agg(F.min("_c1").alias("a"), F.max("_c1").alias("z"), F.count("*").alias("_n")).where("a <> z").select("h", "_n"))
+    # the runs of one document, so never more than it has characters
+    packed = F.flatten(F.collect_list(F.array(F.shiftleft(F.col("at").cast("long"), 32) + F.col("n"), F.col("h"))))
+    places = materialize(lookup(runs, hits, ["h"], "_n").groupBy(key).agg(packed.alias("_runs")))
+
     def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Filter(holders.value)
         for b in batches:
@@ -200,42 +205,36 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 200) -> DataFr
 
     def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k, c, t, at in zip(b[key], b["_c1"], b["_text"], b["_places"]):
-                # an anchor lies in the stretches that start at most least - block before it
-                edge = np.zeros(len(t) + 2, dtype=np.int32)
-                np.add.at(edge, np.maximum(0, at - (least - block)), 1)
-                np.add.at(edge, np.minimum(at + 1, len(t)), -1)
-                near = np.cumsum(edge)[: len(t) - least + 1] > 0
-                for s in strips([t], least):
-                    i = np.flatnonzero(near[s.offset[0] : s.offset[0] + s.length[0] - least + 1])
-                    out = pd.DataFrame({"h": s.hashes(i, least, _SEEDS[1]).view(np.int64)})
-                    out["_c1"], out[key], out["at"] = c, k, (i + s.offset[0]).astype(np.int32)
-                    yield out
-
-    n_holders = places.count()
-    if n_holders <= FEW:
-        held = docs.select(key, "_text", "_c1").join(F.broadcast(places.select(key)), key, "left_semi")
-    else:
-        holders = spark.sparkContext.broadcast(Filter.build(places.select(F.xxhash64(key).alias("h")), n_holders).words)
-        held = docs.select(key, "_text", "_c1", F.xxhash64(key).alias("h")).mapInPandas(hold, f"`{key}` {ktype}, _text string, _c1 long")
-    rows = materialize(held.join(places, key).mapInPandas(stretches, f"h long, _c1 long, `{key}` {ktype}, at int"))
+            cls, keys = b["_c1"].to_numpy(), b[key].to_numpy()
+            flat = np.concatenate([*b["_runs"], np.zeros(0, np.int64)]).astype(np.int64).reshape(-1, 2)
+            line = (np.repeat(np.arange(len(b)), [len(r) // 2 for r in b["_runs"]]) << 32) | (flat[:, 0] >> 32)
+            order = np.argsort(line, kind="stable")
+            line, n, anchor = line[order], flat[order, 0] & 0xFFFFFFFF, flat[order, 1]
+            for s in strips(b["_text"].tolist(), least):
+                lo = np.searchsorted(line, (s.owner << 32) | s.offset)
+                hi = np.searchsorted(line, (s.owner << 32) | (s.offset + STRIP))
+                r = np.repeat(lo, hi - lo) + _within(hi - lo)
+                part = np.repeat(np.repeat(np.arange(len(lo)), hi - lo), n[r])
+                at = np.repeat(line[r] & 0xFFFFFFFF, n[r]) + _within(n[r])
+                h = s.hashes(at - s.offset[part] + s.start[part], least, _SEEDS[1]).view(np.int64)
+                yield pd.DataFrame({"m": np.repeat(anchor[r], n[r]), "h": h, "_c1": cls[s.owner[part]], key: keys[s.owner[part]], "at": at.astype(np.int32)})
+
+    holders = spark.sparkContext.broadcast(Filter.build(places.select(F.xxhash64(key).alias("h")), places.count()).words)
+    held = docs.select(key, "_text", "_c1", F.xxhash64(key).alias("h")).mapInPandas(hold, f"`{key}` {ktype}, _text string, _c1 long")
+    rows = materialize(held.join(places, key).mapInPandas(stretches, f"m long, h long, _c1 long, `{key}` {ktype}, at int"))
     common = materialize(
-        rows.groupBy("h").agg(F.min("_c1").alias("a"), F.max("_c1").alias("z"), F.count("*").alias("_n")).where("a <> z").select("h", "_n")
+        rows.groupBy("m", "h").agg(F.min("_c1").alias("a"), F.max("_c1").alias("z"), F.count("*").alias("_n")).where("a <> z").select("m", "h", "_n")
     )
-    parts = lookup(rows, common, ["h"], "_n").select(key, F.col("at").alias("s"), (F.col("at") + least).alias("e"))
+    parts = lookup(rows, common, ["m", "h"], "_n").select(key, F.col("at").alias("s"), (F.col("at") + least).alias("e"))
     names = docs.select(key, "_c1", "_c2", F.length("_text").alias("e"))
     copies = materialize(names.groupBy("_c1", "_c2").agg(F.count("*").alias("_n")).where("_n > 1"))
     whole = lookup(names, copies, ["_c1", "_c2"], "_n").select(key, F.lit(0).alias("s"), "e")
     return islands(parts.unionByName(whole), key).withColumnRenamed(key, name)
 
 
-def _block_places(s: Strip, block: int) -> np.ndarray:
-    """Places of the blocks that lie whole in a stretch and start at a multiple of ``block`` in their text."""
-    skip = -s.offset % block
-    n = np.maximum(0, (s.length - skip) // block)
-    first = np.repeat(s.start + skip, n)
-    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return first + nth * block
+def _within(n: np.ndarray) -> np.ndarray:
+    """0, 1, ... n[0] - 1, 0, 1, ... n[1] - 1, ..."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def islands(intervals: DataFrame, key: str) -> DataFrame:

@@ -42,10 +42,10 @@ def corpus(seed, alphabet, n=30):
     return texts
 
 
-@pytest.mark.parametrize("few", [0, 1000])
+@pytest.mark.parametrize("bits", [1 << 12, S.MOST_BITS])
 @pytest.mark.parametrize("seed,alphabet,least", [(1, "abcdefgh", 20), (2, "ab", 20), (3, "aé漢😀b", 11), (4, "a", 20)])
-def test_equal_to_brute_force(spark, rows, monkeypatch, seed, alphabet, least, few):
-    monkeypatch.setattr(S, "FEW", few)
+def test_equal_to_brute_force(spark, rows, monkeypatch, seed, alphabet, least, bits):
+    monkeypatch.setattr(S, "MOST_BITS", bits)
     texts = corpus(seed, alphabet)
     data = [(k, v, "x") for k, v in texts.items()] + [(1000, None, None)]
     df = spark.createDataFrame(data, "doc_id long, text string, h string")
@@ -95,3 +95,17 @@ def test_very_long_texts_and_clashing_names(spark):
     df = spark.createDataFrame([(1, long, 0, 0), (2, other, 0, 0)], "s long, text string, at int, h int")
     got = sorted(tuple(r) for r in S.shared_spans(df, "s", "text").collect())
     assert got == [(1, at, at + 600), (2, 30, 630)]
+
+
+def test_anchors_are_the_least_blocks_and_a_fixed_share_of_the_text():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcd") for _ in range(n)) for n in (10, 39, 40, 41, 500, 3000)]
+    block, least = 20, 40
+    for s in S.strips(texts, least):
+        start, at = s.anchors(block, least)
+        h = s.hashes(slice(None), block) >> S.np.uint64(22)
+        assert sorted(start.tolist()) == [b + i for b, n in zip(s.start, s.length) for i in range(n - least + 1)]
+        for b, p in zip(start, at):
+            window = h[b : b + least - block + 1]
+            assert p == b + int(S.np.argmin(window))
+        assert len(set(at.tolist())) < 3 * len(start) / (least - block + 2)
