@@ -4,10 +4,10 @@ The binary Golay code (23, 12) is perfect: every 23-bit word lies within 3 bits
 of its 4096 codewords. A word's keys are the codewords its neighbours within one bit decode to,
 1 or 6 of them; any two words up to 2 bits apart have a key in common.
 
-A record's fingerprint is made of windows of twelve words, laid around the first occurrences of its
+A record's fingerprint is made of windows of nine words, laid around the first occurrences of its
 ``WINDOWS`` words of least hash, so that insertions and moved passages do not shift them. A window is
-three segments of four words; a segment is a 23-bit word to which each of its words gives six bits (the
-last one five). Errors are dealt with by the pigeonhole principle: where a window differs in one segment
+three segments of three words; a segment is a 23-bit word to which each of its words gives eight bits (the
+last one seven). Errors are dealt with by the pigeonhole principle: where a window differs in one segment
 only, the other two agree, and an edit of few bits in the third leaves it a codeword in common. So a
 window's keys are, for each of its segments, the nearby codeword indices of that segment together with
 the indices and syndromes of the other two: 3 to 18 keys of 60 bits. The words that place a window are no part of its keys.
@@ -32,7 +32,7 @@ from siftwell.runtime import materialize
 #: Generator polynomial of the code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
 #: Windows of a fingerprint, segments of a window, words of a segment.
-WINDOWS, PARTS, RUN = 6, 3, 4
+WINDOWS, PARTS, RUN = 7, 3, 3
 #: Words hashed at once.
 STRIP = 1 << 19
 _WORD = re.compile(r"[^\W_]+")

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +10,8 @@ from pyspark.sql import functions as F
 from siftwell.llm import tokens
 from siftwell.runtime import materialize
 
-#: Residuals that one node of the reduction tree combines.
-FAN_IN = 256
+#: Fractions that one node of the reduction tree combines, on average.
+FAN_IN = 4096
 _MASK = (1 << 64) - 1
 
 
@@ -89,9 +87,9 @@ def mix(
     target source or with a null text have 0 copies. Second: source, target_share, wanted_share (of
     the sources that have tokens), max_repeats, available_tokens, mixed_tokens, actual_share.
 
-    Every partition rounds its own documents and is left with at most one fraction per source; these
-    residuals are combined in a tree. So no source is gathered in one task, and each share is off by
-    less than one document.
+    Fractions are dealt by the hash of their key to nodes of about FAN_IN and rounded there in the order of size and key;
+    each node is left with at most one, and these are combined in a tree. So no source is gathered in one task, each
+    share is off by less than one document, and the outcome depends on the rows alone, not on how they are partitioned.
     """
     sized = materialize(tokens.sizes(df, key, text, keep=(source,), vocabulary=vocabulary))
     goals = [(r[0], float(r[1] or 0), int(r[2] or 0)) for r in targets.select("source", "target_share", "max_repeats").dropDuplicates(["source"]).collect() if r[0] is not None]
@@ -103,39 +101,29 @@ def mix(
     schema = f"`{key}` {dtype}, `{source}` string, n_tokens long, copies int, fraction double"
     cols = [key, source, "n_tokens", "copies", "fraction"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pivots: dict[str, Pivot] = {}
-        for b in batches:
-            rows = []
-            b = b.sort_values(["n_tokens", key], ascending=False)  # so that what is left over tends to be small
-            for k, s, n, c, f in zip(b[key], b[source], b["n_tokens"], b["copies"], b["fraction"]):
-                if s not in wanted or n != n or n is None:
-                    rows.append((k, s, n, 0, 0.0))
-                    continue
-                n, c = int(n), int(c)
-                done = pivots.setdefault(s, Pivot(seed)).add((k, s, n, c), n, f)
-                rows += [(*r[:3], r[3] + one, 0.0) for r, one in done]
-            yield pd.DataFrame(rows, columns=cols).astype({"n_tokens": "Int64"})
-        left = [(*p.held[0], p.held[2]) for p in pivots.values() if p.held]
-        yield pd.DataFrame(left, columns=cols).astype({"n_tokens": "Int64"})
+    def combine(b: pd.DataFrame) -> pd.DataFrame:
+        pivot, rows = Pivot(seed), []
+        b = b.sort_values(["n_tokens", key], ascending=False)  # so that what is left over tends to be small
+        for k, s, n, c, f in zip(b[key], b[source], b["n_tokens"], b["copies"], b["fraction"]):
+            rows += [(*r[:3], r[3] + one, 0.0) for r, one in pivot.add((k, s, int(n), int(c)), int(n), f)]
+        if pivot.held:
+            rows.append((*pivot.held[0], pivot.held[2]))
+        return pd.DataFrame(rows, columns=cols)
 
     base = F.create_map(*[F.lit(x) for s, f in wanted.items() for x in (s, f)])[F.col(source)] if wanted else F.lit(0.0)
-    start = sized.withColumn("copies", F.coalesce(F.floor(base).cast("int"), F.lit(0))).withColumn("fraction", F.coalesce(base - F.floor(base), F.lit(0.0)))
-    level = materialize(start.select(cols).mapInPandas(run, schema))
-    done = level.where("fraction = 0")
-    left = level.where("fraction > 0")
-    widest = left.groupBy(source).count().agg(F.max("count")).first()[0] or 0
-    while widest > 1:
-        nodes = math.ceil(widest / FAN_IN)
-        node = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(nodes))
-
-        def combine(b: pd.DataFrame) -> pd.DataFrame:
-            return pd.concat(list(run(iter([b]))), ignore_index=True)
-
-        level = materialize(left.groupBy(F.col(source).alias("_s"), node.alias("_n")).applyInPandas(combine, schema))
-        done = done.unionByName(level.where("fraction = 0"))
-        left = level.where("fraction > 0")
-        widest = left.groupBy(source).count().agg(F.max("count")).first()[0] or 0
+    size = F.col("n_tokens").isNotNull()
+    whole = F.when(size, F.coalesce(F.floor(base), F.lit(0))).otherwise(0)
+    start = sized.withColumn("copies", whole.cast("int")).withColumn("fraction", F.when(size, F.coalesce(base - F.floor(base), F.lit(0.0))).otherwise(0.0))
+    done = start.where("fraction = 0").select(cols)
+    left, level = start.where("fraction > 0").select(cols), 0
+    counts = {r[0]: r[1] for r in left.groupBy(source).count().collect()}
+    while max(counts.values(), default=0) > 1:
+        nodes = F.create_map(*[F.lit(x) for s, n in counts.items() for x in (s, math.ceil(n / FAN_IN))])[F.col(source)]
+        node = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), key), nodes)
+        stage = materialize(left.groupBy(F.col(source).alias("_s"), node.alias("_n")).applyInPandas(combine, schema))
+        done = done.unionByName(stage.where("fraction = 0"))
+        left, level = stage.where("fraction > 0"), level + 1
+        counts = {r[0]: r[1] for r in left.groupBy(source).count().collect()}
     # at most one fraction per source is left
     last = [(r[key], r["copies"] + int(chance(r[key], seed, 3) < r["fraction"])) for r in left.collect()]
     settled = F.lit(None).cast("int")

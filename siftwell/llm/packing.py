@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +13,8 @@ from siftwell.runtime import materialize
 
 #: Texts that are packed together, and containers left open for the texts that follow along the curve.
 WINDOW, OPEN = 4096, 512
+#: Texts of one stretch of the curve, on average; cells of the curve that stretches are made of (2 to the power of CELLS).
+STRETCH, CELLS = 32_768, 15
 
 
 class Packer:
@@ -58,31 +58,40 @@ def pack(df: DataFrame, key: str, text: str, limits: list[tuple[str, int]], voca
     Columns: limit_name, key, piece, token_start, token_end, n_tokens, container_id. Only texts over
     the capacity are split, into pieces of exactly the capacity and a rest. An empty text takes no
     room in a container; a null text gets one row per limit with nulls. Keys must be unique: a repeated
-    row is packed as often as it comes. The sizes are computed once and written; then each partition
-    packs its own stretch of the curve, so containers never span tasks.
+    row is packed as often as it comes. The sizes are computed once and written. The curve is cut into stretches of
+    about STRETCH texts, by counts per cell of the curve; a cell that holds more is dealt by the hash of the key. Each
+    stretch is packed by itself in the order of curve and key, so that the outcome depends on the rows alone.
     """
     if any(c < 1 for _, c in limits):
         raise ValueError("capacities must be positive")
-    sized = materialize(tokens.sizes(df, key, text, vocabulary=vocabulary, dims=3))
+    bits = 12
+    sized = materialize(tokens.sizes(df, key, text, vocabulary=vocabulary, dims=3, bits=bits))
     dtype = df.schema[key].dataType.simpleString()
     schema = f"limit_name string, `{key}` {dtype}, piece int, token_start long, token_end long, container_id string"
     names = ["limit_name", key, "piece", "token_start", "token_end", "container_id"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part = TaskContext.get().partitionId()
-        packers = [Packer(name, cap, f"{name}-{part}-") for name, cap in limits]
-        for b in batches:
-            docs = list(zip(b[key], b["n_tokens"]))
+    def run(where: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values(["curve", key])
+        docs = list(zip(b[key], b["n_tokens"]))
+        out = []
+        for name, cap in limits:
+            packer = Packer(name, cap, f"{name}-{where[0]}-{where[1]}-")
             for i in range(0, len(docs), WINDOW):
-                for p in packers:
-                    out = pd.DataFrame(p.pack(docs[i : i + WINDOW]), columns=names)
-                    out["container_id"] = p.prefix + out["container_id"].astype(str)
-                    yield out
-
-    order = [F.col("curve"), F.col(key)]
-    packed = (
-        sized.where("n_tokens is not null").repartitionByRange(*order).sortWithinPartitions(*order).select(key, "n_tokens").mapInPandas(run, schema)
-    )
+                out += [(*r[:5], f"{packer.prefix}{r[5]}") for r in packer.pack(docs[i : i + WINDOW])]
+        return pd.DataFrame(out, columns=names)
+
+    cell = F.shiftright("curve", 3 * bits - CELLS).cast("int")
+    texts = sized.where("n_tokens is not null").select(key, "n_tokens", "curve", cell.alias("cell"))
+    # one row per cell, 2 ** CELLS at most
+    plan, held, stretch = [], 0, 0
+    for c, n in sorted(tuple(r) for r in texts.groupBy("cell").count().collect()):
+        if held and held + n > STRETCH:
+            held, stretch = 0, stretch + 1
+        plan.append((c, stretch, -(-n // STRETCH)))
+        held += n
+    cut = df.sparkSession.createDataFrame(plan, "cell int, stretch int, parts int")
+    part = F.pmod(F.xxhash64(key), F.col("parts")).cast("int")
+    packed = texts.join(F.broadcast(cut), "cell").groupBy("stretch", part.alias("part")).applyInPandas(run, schema)
     names_col = F.explode(F.array(*[F.lit(n) for n, _ in limits])) if limits else F.lit(None).cast("string")
     none = sized.where("n_tokens is null").select(
         names_col.alias("limit_name"),
