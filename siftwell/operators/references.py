@@ -63,6 +63,15 @@ def accumulate(*parts: DataFrame) -> DataFrame:
     )
 
 
+def advance(state: DataFrame | None, *changes: DataFrame) -> DataFrame:
+    """The stored state after more deltas: what is kept between runs, one row per key, keys without any count left out.
+
+    Deltas may come in any order and any number of rounds; the state costs one shuffle of its own size a round.
+    """
+    parts = changes if state is None else (state, *changes)
+    return materialize(accumulate(*parts).where("refs <> 0 or existing <> 0 or removed <> 0"))
+
+
 def orphans(state: DataFrame) -> DataFrame:
     """Keys with positive references and zero existence; kind ``deleted`` if a removal was logged, else ``missing``."""
     return state.where((F.col("refs") > 0) & (F.col("existing") <= 0)).withColumn(
@@ -84,14 +93,9 @@ def report(references: DataFrame, entities: DataFrame, removals: DataFrame) -> D
     references = references.select("ref_table", "ref_field", "row_key", "key", "at").where(F.col("key").isNotNull())
     known = entities.groupBy("key").agg(F.min("at").alias("at"))
     gone = removals.select("key").distinct()
-    state = materialize(
-        accumulate(
-            deltas(references, F.col("key"), references=1, referred=F.col("at")),
-            deltas(known, F.col("key"), existence=1, born=F.col("at")),
-            # an id that was taken out: it came (+1) and went (-1)
-            deltas(gone, F.col("key"), existence=F.lit(1) + F.lit(-1), removals=1),
-        ).where(F.col("refs") > 0)
-    )
+    # existence and removals are one round of changes, references the next, added to the state that the first has left
+    state = advance(None, deltas(known, F.col("key"), existence=1, born=F.col("at")), deltas(gone, F.col("key"), removals=1))
+    state = advance(state, deltas(references, F.col("key"), references=1, referred=F.col("at"))).where(F.col("refs") > 0)
     total = state.agg(F.sum("refs")).first()[0] or 0
     suspects = orphans(state).unionByName(
         state.where((F.col("existing") > 0) & (F.col("born") > F.col("first_ref"))).withColumn("kind", F.lit("late"))

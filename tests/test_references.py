@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from siftwell.operators import references as R
 
 T = [dt.datetime(2024, m, 1) for m in range(1, 7)]
@@ -47,3 +49,19 @@ def test_counts_are_maintained_from_deltas(spark, rows):
     assert rows(R.orphans(state), "key", "refs") == [("b", 1)]
     state = R.accumulate(state, d([("b", 0, 1), ("c", 0, -1), ("a", -2, -1)]))
     assert rows(R.orphans(state), "key", "refs") == [("c", 1)]
+
+
+def test_a_state_kept_over_rounds_of_changes(spark, rows):
+    def feed(data, **kinds):
+        df = spark.createDataFrame(data, "key string, n int")
+        return R.deltas(df, F.col("key"), **{k: F.col("n") for k in kinds})
+
+    first = R.advance(None, feed([("a", 1), ("b", 1), ("c", 1)], references=1), feed([("a", 1)], existence=1))
+    assert rows(R.orphans(first), "key", "kind") == [("b", "missing"), ("c", "missing")]
+    # b arrives late, a is deleted and its removal logged, c's reference goes, d is referred to twice and loses one reference
+    second = R.advance(first, feed([("b", 1), ("a", -1)], existence=1), feed([("a", 1)], removals=1), feed([("c", -1), ("d", 2), ("d", -1)], references=1))
+    assert rows(R.orphans(second), "key", "kind") == [("a", "deleted"), ("d", "missing")]
+    assert "c" not in [r.key for r in second.collect()]
+    # the same changes in one round
+    at_once = R.advance(None, feed([("a", 1), ("b", 1), ("c", 1), ("c", -1), ("d", 1)], references=1), feed([("a", 1), ("b", 1), ("a", -1)], existence=1), feed([("a", 1)], removals=1))
+    assert rows(R.orphans(at_once), "key", "refs", "kind") == rows(R.orphans(second), "key", "refs", "kind")
