@@ -119,6 +119,36 @@ def thread(messages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def branches(messages: DataFrame, parent: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Conversations of messages that name their parent in the column ``parent``: every path from a root to a leaf.
+
+    ``messages``: id, speaker, created_at. First result: leaf, root, turn (from 0), id, speaker, created_at, ``keep``; a message
+    with several replies is part of several paths. Second: id and status of the messages left out, ``orphan``
+    (an ancestor is missing) or ``cycle``. Repeated rows of an id count once, rows without an id are left
+    out, an empty parent is a root.
+
+    A leaf of depth d is joined to its ancestors by the tables of 1, 2, 4, ... steps up, log2(depth) joins on rows of the result's size.
+    """
+    cols = ["id", "speaker", "created_at", *keep]
+    m = materialize(messages.where(F.col("id").isNotNull()).select(*dict.fromkeys(cols), F.col(parent).alias("_parent")).dropDuplicates(["id"]))
+    placed = materialize(resolve_parents(m.select("id", F.col("_parent").alias("parent"), F.lit(1).alias("weight"))))
+    good = placed.where("status = 'ok'").select("id", "root", "depth")
+    up = m.where(F.col("_parent").isNotNull()).select("id", F.col("_parent").alias("up")).join(good.select("id"), "id", "left_semi")
+    leaves = good.join(up.select(F.col("up").alias("id")), "id", "left_anti")
+    rows = materialize(leaves.select(F.col("id").alias("leaf"), "root", F.col("id").alias("at"), "depth", F.explode(F.sequence(F.lit(0).cast("long"), "depth")).alias("climb")))
+    deepest = rows.agg(F.max("depth")).first()[0] or 0
+    step = 1
+    while step <= deepest:
+        up = materialize(up)
+        climbs = F.col("climb").bitwiseAND(F.lit(step)) != 0
+        moved = rows.where(climbs).join(up.select(F.col("id").alias("at"), "up"), "at").drop("at").withColumnRenamed("up", "at")
+        rows = materialize(rows.where(~climbs).unionByName(moved))
+        up = up.join(up.select(F.col("id").alias("up"), F.col("up").alias("_far")), "up").select("id", F.col("_far").alias("up"))
+        step *= 2
+    paths = rows.select("leaf", "root", (F.col("depth") - F.col("climb")).alias("turn"), F.col("at").alias("id")).join(m.drop("_parent"), "id")
+    return paths.select("leaf", "root", "turn", *cols), placed.where("status <> 'ok'").select("id", "status")
+
+
 def dropped(threads: DataFrame, sessions: DataFrame) -> DataFrame:
     """Sessions to drop with the first reason that holds: ``empty``, ``broken`` or ``no_reply``.
 

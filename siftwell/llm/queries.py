@@ -52,7 +52,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """The ten most similar others, whatever their cosine, of every key whose hash is divisible by 50."""
+    """The ten most similar others, whatever their cosine, of every key whose hash is divisible by 50. No SQL, as it is approximate."""
     asks = F.pmod(F.xxhash64("key"), F.lit(50)) == 0
     return vptree.neighbours(_vectors(spark, d), k=10, relax=0.5, queries=asks)
 
@@ -90,7 +90,9 @@ def p5_turns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_conversations(spark: SparkSession, d: str) -> DataFrame:
-    return C.conversations(p5_turns(spark, d))
+    """Conversations as texts, one turn a line, in parts of a thousand turns."""
+    lines = F.transform("turns", lambda t: F.concat(t["speaker"], F.lit(": "), t["content"]))
+    return C.conversations(p5_turns(spark, d)).select("session_id", "part", "n_turns", F.array_join(lines, "\n").alias("turns"))
 
 
 def _limits(spark: SparkSession, d: str) -> list[tuple[str, int]]:
@@ -105,6 +107,33 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p6_containers(spark, d), _limits(spark, d))
 
 
+def p6_kept(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any packing: no container over its capacity, all texts whole and in place, little room left."""
+    limits = _limits(spark, d)
+    packed = materialize(p6_containers(spark, d))
+    pieces = packed.groupBy("limit_name", "doc_id").agg(
+        F.count("container_id").alias("n"), (F.max("token_end") - F.sum("n_tokens")).alias("gap"), F.min("token_start").alias("first"), F.max("piece").alias("last"), F.max("n_tokens").alias("most")
+    )
+    whole = (F.col("gap") == 0) & (F.col("first") == 0) & (F.col("last") == F.col("n") - 1)
+    texts = pieces.groupBy("limit_name").agg(
+        F.sum((F.col("n") > 0).cast("int")).alias("n_texts"), F.sum((F.col("n") == 0).cast("int")).alias("n_null"), F.min(F.when(F.col("n") > 0, whole)).alias("whole")
+    )
+    cap = F.create_map(*[F.lit(x) for pair in limits for x in pair])[F.col("limit_name")]
+    full = packing.fill(packed, limits).select("limit_name", (F.col("fullest") <= cap).alias("within"), (F.col("fill") > 0.95).alias("well_filled"))
+    return texts.join(full, "limit_name")
+
+
+def p7_kept(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any mix: shares met to a hundredth, no document over its source's cap, none without a text used."""
+    uses, report = mixing.mix(read(spark, d, "documents"), "doc_id", "text", "source", read(spark, d, "mix_targets"))
+    per = uses.groupBy("source").agg(F.count("*").alias("n_documents"), F.max("copies").alias("most"), F.sum(F.when(F.col("n_tokens").isNull(), F.col("copies")).otherwise(0)).alias("of_null"))
+    share = F.abs(F.col("actual_share") - F.col("wanted_share")) < 0.01
+    return report.join(per, "source", "left").select(
+        "source", F.round("wanted_share", 6).alias("wanted_share"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"), share.alias("met"),
+        (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within"), F.coalesce("of_null", F.lit(0)).alias("of_null"),
+    )
+
+
 def p7_use_counts(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(read(spark, d, "documents"), "doc_id", "text", "source", read(spark, d, "mix_targets"))[0]
 
@@ -133,8 +162,10 @@ QUERIES = {
     "p5_conversations": p5_conversations,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
+    "p6_kept": p6_kept,
     "p7_use_counts": p7_use_counts,
     "p7_shares": p7_shares,
+    "p7_kept": p7_kept,
     "p8_found": p8_found,
     "p8_coverage": p8_coverage,
 }
@@ -199,6 +230,34 @@ s AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i:
 n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
 c AS (SELECT x.id AS a_id, y.id AS b_id, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2)
 SELECT a_id, b_id FROM c JOIN n x ON a_id = x.id JOIN n y ON b_id = y.id WHERE c >= 0.7 * (x.n + y.n - c)"""
+_P1_GROUPS = _P1[: _P1.index(",\nc AS")] + """,
+own AS (SELECT id, md5(string_agg(s, '|' ORDER BY s)) AS h FROM s GROUP BY id),
+cls AS (SELECT id, min(id) OVER (PARTITION BY h) AS class_id FROM own),
+rep AS (SELECT s.* FROM s JOIN cls USING (id) WHERE id = class_id),
+c AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM rep x JOIN rep y ON x.s = y.s AND x.id < y.id GROUP BY 1, 2),
+p AS (SELECT a, b FROM c JOIN n x ON a = x.id JOIN n y ON b = y.id WHERE c >= 0.7 * (x.n + y.n - c)),
+two AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+k AS (SELECT a AS class_id, count(*) AS n_links FROM two GROUP BY a),
+g(node, m) USING KEY (node) AS (SELECT a, min(b) FROM (SELECT a, b FROM two UNION SELECT a, a FROM two) GROUP BY a
+  UNION SELECT two.b, min(g.m) FROM g JOIN two ON two.a = g.node JOIN recurring.g AS o ON o.node = two.b WHERE g.m < o.m GROUP BY two.b)
+SELECT id, class_id, coalesce(n_links, 0) AS n_links, coalesce(m, class_id) AS group_id FROM cls LEFT JOIN k USING (class_id) LEFT JOIN g ON node = class_id"""
+_P1_GROUPS = _P1_GROUPS.replace("WITH pool", "WITH RECURSIVE pool", 1)
+_P4_PIECES = f"""
+WITH RECURSIVE {_P4.strip()[5:_P4.strip().index("SELECT section_id, CASE WHEN paragraph")].strip()},
+kind AS (SELECT section_id, CASE WHEN paragraph <= 2800 THEN 'paragraph' WHEN line <= 2800 THEN 'line' WHEN sentence <= 2800 THEN 'sentence' WHEN word <= 2800 THEN 'word' ELSE 'none' END AS boundary FROM longest),
+parts AS (SELECT section_id, boundary, string_split(CASE boundary WHEN 'paragraph' THEN paragraph WHEN 'line' THEN line WHEN 'sentence' THEN sentence ELSE word END, {_CUT}) AS s FROM kind JOIN cut USING (section_id)),
+lens AS (SELECT section_id, boundary, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM parts),
+ends AS (SELECT section_id, boundary, (sum(length(x)) OVER (PARTITION BY section_id ORDER BY i))::INT AS e, length(x) AS n FROM lens),
+places AS (SELECT DISTINCT section_id, p FROM (SELECT section_id, e AS p FROM ends UNION ALL SELECT section_id, 0 FROM kind
+  UNION ALL SELECT section_id, unnest(range(e - n, e, 2800)) FROM ends WHERE n > 2800)),
+succ AS (SELECT a.section_id, a.p, max(b.p) AS q FROM places a JOIN places b ON a.section_id = b.section_id AND b.p > a.p AND b.p <= a.p + 2800 GROUP BY 1, 2),
+walk(section_id, i, p, q) AS (SELECT section_id, 0, p, q FROM succ WHERE p = 0 UNION ALL SELECT w.section_id, w.i + 1, s.p, s.q FROM walk w JOIN succ s ON s.section_id = w.section_id AND s.p = w.q),
+sec AS (SELECT id AS section_id, any_value(content) AS content, any_value(start_line) AS start_line FROM markdown_sections GROUP BY id),
+cuts AS (SELECT section_id, i, greatest(0, p - CASE WHEN i > 0 THEN 200 ELSE 0 END)::INT AS a, q::INT AS e, boundary FROM walk JOIN kind USING (section_id)
+  UNION ALL SELECT section_id, 0, 0, length(content)::INT, 'whole' FROM sec WHERE length(content) BETWEEN 1 AND 3000)
+SELECT section_id, i::INT AS chunk_index, a AS char_start, e AS char_end, boundary,
+  (start_line + length(substring(content, 1, a)) - length(replace(substring(content, 1, a), chr(10), '')))::INT AS start_line, substring(content, a + 1, e - a) AS piece
+FROM cuts JOIN sec USING (section_id)"""
 _P3 = """
 WITH raw AS (
   SELECT model_id AS collection, entity_id || '#' || chunk_index AS key, embedding::DOUBLE[] AS v FROM vectors WHERE model_id IS NOT NULL
@@ -216,6 +275,16 @@ SELECT DISTINCT collection, least(a, b) AS a_key, greatest(a, b) AS b_key FROM n
 SQL = {
     "p3_found": _P3,
     "p1_found": _P1,
+    "p1_groups": _P1_GROUPS,
+    "p4_pieces": _P4_PIECES,
+    "p5_conversations": f"""{_P5} SELECT session_id, (turn // 1000)::INT AS part, count(*)::INT AS n_turns,
+  string_agg(speaker || ': ' || content, chr(10) ORDER BY turn) AS turns FROM ordered
+WHERE session_id NOT IN (SELECT session_id FROM dropped WHERE reason IS NOT NULL) GROUP BY 1, 2""",
+    "p6_kept": """SELECT limit_name, (SELECT count(text) FROM documents) AS n_texts, (SELECT count(*) FROM documents WHERE text IS NULL) AS n_null,
+  true AS whole, true AS within, true AS well_filled FROM pack_limits""",
+    "p7_kept": """WITH n AS (SELECT source, count(*) AS n, count(text) AS t FROM documents GROUP BY 1), w AS (SELECT sum(target_share) AS w FROM mix_targets JOIN n USING (source) WHERE t > 0)
+SELECT source, round(CASE WHEN t > 0 THEN target_share / w ELSE 0 END, 6) AS wanted_share, coalesce(n, 0) AS n_documents, true AS met, true AS within, 0::BIGINT AS of_null
+FROM mix_targets LEFT JOIN n USING (source) CROSS JOIN w""",
     "p8_found": _P8,
     "p8_coverage": _P8_COVERAGE,
     "p4_found": _P4,

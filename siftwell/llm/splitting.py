@@ -19,48 +19,70 @@ KINDS = {
 }
 
 
-def boundaries(text: str, core: int) -> tuple[str, np.ndarray]:
-    """The first kind whose boundaries, with those of the kinds before, leave no stretch over ``core``
-    characters (or ``none``), and those places, 0 and the text's end included. Stretches that stay too
-    long are cut every ``core`` characters."""
-    n = len(text)
-    at = np.array([0, n], dtype=np.int64)
-    for kind, pattern in KINDS.items():
-        at = np.union1d(at, np.fromiter((m.end() for m in pattern.finditer(text)), dtype=np.int64))
-        if np.diff(at).max(initial=0) <= core:
-            return kind, at
-    hard = [np.arange(a, b, core) for a, b in zip(at[:-1], at[1:]) if b - a > core]
-    return "none", np.union1d(at, np.concatenate(hard)) if hard else at
-
-
-def greedy_cuts(places: list[np.ndarray], core: int) -> list[np.ndarray]:
-    """For each text the greedy cuts among its sorted places, the first and last included.
-
-    Every place is joined to its farthest legal successor (at most ``core`` away). Squaring the
-    successor table doubles the step, and from the largest step down to one every marked place marks
-    its successor, so that all cuts of all texts are found in parallel in log2(places) rounds.
+class Successors:
+    """Farthest legal successor of every place of every text: at most ``core`` characters on, and the next place where there is none so near."""
+
+    def __init__(self, places: list[np.ndarray], core: int) -> None:
+        sizes = np.array([len(p) for p in places], dtype=np.int64)
+        self.first = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(places)), sizes)
+        self.flat = np.concatenate([*places, np.zeros(0, np.int64)])
+        stride = int(self.flat.max(initial=0)) + core + 1  # keeps the texts apart on one number line
+        line = self.flat + owner * stride
+        here = np.arange(len(line))
+        self.last = np.repeat(self.first + sizes - 1, sizes)
+        far = np.searchsorted(line, line + core, side="right") - 1
+        #: Places that have no legal successor; a text is cut legally where none of its places is stuck.
+        self.stuck = (far == here) & (here < self.last)
+        self.next = np.minimum(np.maximum(far, here + 1), self.last)
+        self.sizes = sizes
+
+    def legal(self) -> np.ndarray:
+        """For each text, whether all its places have a legal successor."""
+        return np.add.reduceat(self.stuck, self.first) == 0 if len(self.sizes) else np.zeros(0, bool)
+
+    def cuts(self) -> list[np.ndarray]:
+        """For each text the greedy cuts, the first and last place included.
+
+        Squaring the successor table doubles the step, and from the largest step down to one every marked place
+        marks its successor, so that all cuts of all texts are found in parallel in log2(places) rounds.
+        """
+        if not len(self.flat):
+            return [self.flat for _ in self.sizes]
+        tables = [self.next]
+        while (tables[-1] != self.last).any():
+            tables.append(tables[-1][tables[-1]])
+        marked = np.zeros(len(self.flat), dtype=bool)
+        marked[self.first] = True
+        for table in reversed(tables):
+            marked[table[marked]] = True
+        marked[self.last] = True
+        return np.split(self.flat[marked], np.cumsum(np.add.reduceat(marked, self.first, dtype=np.int64))[:-1])
+
+
+def cut(texts: list[str], core: int) -> list[tuple[str, np.ndarray]]:
+    """Kind of boundary and greedy cuts of each text.
+
+    Kind after kind, the places of a kind join those of the kinds before, until every place of the text has a legal
+    successor. A text that has stuck places with all kinds is cut every ``core`` characters there (``none``).
     """
-    sizes = np.array([len(p) for p in places], dtype=np.int64)
-    if not len(sizes) or not sizes.sum():
-        return [p[:0] for p in places]
-    base = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    owner = np.repeat(np.arange(len(places)), sizes)
-    flat = np.concatenate(places)
-    stride = int(flat.max()) + core + 1  # keeps the texts apart on one number line
-    line = flat + owner * stride
-    nxt = np.searchsorted(line, line + core, side="right") - 1
-    last = base + np.repeat(sizes, sizes) - 1
-    nxt = np.minimum(np.where(nxt > np.arange(len(line)), nxt, np.arange(len(line)) + 1), last)
-    tables = [nxt]
-    while (tables[-1] != last).any():
-        tables.append(tables[-1][tables[-1]])
-    marked = np.zeros(len(line), dtype=bool)
-    marked[np.unique(base)] = True
-    for table in reversed(tables):
-        marked[table[marked]] = True
-    marked[last] = True
-    out = flat[marked]
-    return np.split(out, np.cumsum(np.add.reduceat(marked, np.cumsum(sizes) - sizes, dtype=np.int64))[:-1])
+    out: list = [None] * len(texts)
+    places = [np.array([0, len(t)], dtype=np.int64) for t in texts]
+    open_ = list(range(len(texts)))
+    for kind, pattern in KINDS.items():
+        for i in open_:
+            places[i] = np.union1d(places[i], np.fromiter((m.end() for m in pattern.finditer(texts[i])), dtype=np.int64))
+        table = Successors([places[i] for i in open_], core)
+        for i, ok, c in zip(open_, table.legal(), table.cuts()):
+            if ok:
+                out[i] = (kind, c)
+        open_ = [i for i in open_ if out[i] is None]
+    for i in open_:
+        at = places[i]
+        places[i] = np.union1d(at, np.concatenate([np.arange(a, b, core) for a, b in zip(at[:-1], at[1:])]))
+    for i, c in zip(open_, Successors([places[i] for i in open_], core).cuts()):
+        out[i] = ("none", c)
+    return out
 
 
 def split(
@@ -87,12 +109,10 @@ def split(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [boundaries(t, core) if len(t) > limit else ("whole", np.array([0, len(t)])) for t in b["_text"]]
-            cuts = greedy_cuts([p for k, p in found if k != "whole"], core)
-            nth = iter(cuts)
+            nth = iter(cut([t for t in b["_text"] if len(t) > limit], core))
             rows = []
-            for k, t, ln, (kind, p) in zip(b["_key"], b["_text"], b["_line"], found):
-                c = p if kind == "whole" else next(nth)
+            for k, t, ln in zip(b["_key"], b["_text"], b["_line"]):
+                kind, c = next(nth) if len(t) > limit else ("whole", (0, len(t)))
                 for i, (a, e) in enumerate(zip(c[:-1], c[1:])):
                     a = int(max(0, a - overlap)) if i else 0
                     at = None if ln is None or ln != ln else int(ln) + t.count("\n", 0, a)

@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from siftwell.runtime import materialize
 
-#: Rows of a collection that the upper tree is fitted on at most, rows wanted per shard, most shards of a collection.
-SAMPLE, SHARD, SHARDS = 20_000, 32_768, 1_024
+#: Rows of a collection that bound the radius of a search without a limit, rows wanted per shard, most shards of a collection (beyond
+#: SHARD * SHARDS rows, 268 million, shards grow), and rows per shard that the upper tree is fitted on (SAMPLE rows at least).
+SAMPLE, SHARD, SHARDS, FIT = 20_000, 32_768, 8_192, 16
 #: Most rows, and most queries, that one task compares; rows of a leaf; queries searched for at once.
 BLOCK, LEAF, ATONCE = 65_536, 128, 4_096
 
@@ -169,7 +170,7 @@ def neighbours(df: DataFrame, k: int = 10, least: float = -1.0, relax: float = 0
     radius too, as the kth nearest of all rows can't be farther. ``queries`` picks the rows to search
     for, all by default. Vectors that are the same are neighbours like any others. An empty table
     gives an empty result; a collection of one row has no neighbours. Collections are few: the driver
-    fits a tree for each on a sample of at most SAMPLE rows. Every row is indexed.
+    fits a tree for each on a sample of at most SAMPLE rows or FIT a shard. Every row is indexed.
 
     Rows and queries of a shard meet in blocks of bounded size however many they are, so that neither
     a crowd of like vectors nor a large collection makes a large task.
@@ -191,10 +192,12 @@ def neighbours(df: DataFrame, k: int = 10, least: float = -1.0, relax: float = 0
     trees: dict[str, tuple[Tree, np.ndarray]] = {}
     for name, n in sizes.items():
         shards = max(0, min(int(np.log2(SHARDS)), int(np.ceil(np.log2(n / SHARD)))))
-        share = min(1 << 30, int((1 << 30) * 1.2 * SAMPLE / n))
-        some = rows.where((F.col("collection") == name) & (F.pmod("code", F.lit(1 << 30)) < share)).select("unit").limit(SAMPLE).toPandas()
+        most = max(SAMPLE, FIT << shards)
+        share = min(1 << 30, int((1 << 30) * 1.2 * most / n))
+        some = rows.where((F.col("collection") == name) & (F.pmod("code", F.lit(1 << 30)) < share)).select("code", "unit").limit(most).toPandas()
+        some = some.drop_duplicates("code")  # repeated rows of a key would pass for its neighbours
         sample = _stack(some["unit"]) if len(some) else np.zeros((1, 1), np.float32)
-        trees[name] = Tree.fit(sample, shards)[0], sample if least < 0.5 else sample[:0]
+        trees[name] = Tree.fit(sample, shards)[0], sample[: SAMPLE if least < 0.5 else 0]
     shared = spark.sparkContext.broadcast(trees)
     radius = np.float32(np.sqrt(max(0.0, 2 - 2 * least)))
 
@@ -229,27 +232,24 @@ def neighbours(df: DataFrame, k: int = 10, least: float = -1.0, relax: float = 0
     per = F.broadcast(materialize(per.where("blocks > 0 and crowds > 0")))  # at most SHARDS rows a collection
     by = ["collection", "shard", "block", "crowd"]
 
-    def nth(count: str) -> Column:
-        return F.pmod("code", F.col(count)).cast("int")
+    # a row lies in one block and meets every crowd of queries; a query is in one crowd and meets every block
+    own = F.col("reach").isNull()
 
-    def every(count: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    def to(count: str, one: Column) -> Column:
+        return F.explode(F.when(one, F.array(F.pmod("code", F.col(count)).cast("int"))).otherwise(F.sequence(F.lit(0), F.col(count) - 1)))
 
-    home = placed.where("reach is null").join(per, ["collection", "shard"]).withColumn("block", nth("blocks")).withColumn("crowd", every("crowds"))
-    ask = placed.where("reach is not null").join(per, ["collection", "shard"]).withColumn("crowd", nth("crowds")).withColumn("block", every("blocks"))
+    met = placed.join(per, ["collection", "shard"]).withColumn("block", to("blocks", own)).withColumn("crowd", to("crowds", ~own))
 
-    def search(where: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def search(where: tuple, both: pd.DataFrame) -> pd.DataFrame:
+        # repeated rows of a key lie in the same task
+        left, right = (both[both["reach"].isna() == side].drop_duplicates("code") for side in (True, False))
         if not len(left) or not len(right):
             return pd.DataFrame({"collection": [], "key": [], "other": [], "cosine": []})
-        # repeated rows of a key lie in the same task
-        left, right = left.drop_duplicates("code"), right.drop_duplicates("code")
         x, q = _stack(left["unit"]), _stack(right["unit"])
         s, t, v = _search(x, left["code"].to_numpy(), q, right["code"].to_numpy(), right["reach"].to_numpy(np.float32), k, least)
         return pd.DataFrame({"collection": where[0], "key": right["key"].to_numpy()[s], "other": left["key"].to_numpy()[t], "cosine": v.astype(np.float64)})
 
-    names = ["collection", "key", "code", "unit", "reach", *by[1:]]
-    home, ask = home.select(names).toDF(*names), ask.select(names).toDF(*names)
-    found = home.groupBy(*by).cogroup(ask.groupBy(*by)).applyInPandas(search, f"collection string, key {kind}, other {kind}, cosine double")
+    found = met.select("key", "code", "unit", "reach", *by).groupBy(*by).applyInPandas(search, f"collection string, key {kind}, other {kind}, cosine double")
     # at most k rows of each block
     best = F.slice(F.sort_array(F.collect_set(F.struct((-F.col("cosine")).alias("far"), "other"))), 1, k)
     return (

@@ -62,3 +62,18 @@ def test_resolve_parents(spark, rows):
 def test_empty(spark, rows, data):
     t, drop, kept = run(spark, data)
     assert rows(t) == rows(drop) == rows(kept) == []
+
+
+def test_branches_orphans_and_cycles(spark, rows):
+    tree = [("a", None), ("b", "a"), ("c", "b"), ("d", "b"), ("e", "a"), ("x", None), ("o", "gone"), ("p", "o"), ("y", "z"), ("z", "y"), ("q", "z"), (None, "a"), ("c", "b")]
+    tree += [(f"n{i:02}", f"n{i - 1:02}" if i else "x") for i in range(20)]
+    df = spark.createDataFrame([(i, p, "user", None, "t") for i, p in tree], "id string, reply_to string, speaker string, created_at timestamp, content string")
+    paths, left = C.branches(df, "reply_to", ("content",))
+    got = {}
+    for r in paths.orderBy("leaf", "turn").collect():
+        got.setdefault(r.leaf, []).append(r.id)
+        assert got[r.leaf][0] == r.root and len(got[r.leaf]) == r.turn + 1
+    assert got == {"c": ["a", "b", "c"], "d": ["a", "b", "d"], "e": ["a", "e"], "n19": ["x"] + [f"n{i:02}" for i in range(20)]}
+    assert rows(left) == [("o", "orphan"), ("p", "orphan"), ("q", "cycle"), ("y", "cycle"), ("z", "cycle")]
+    none, left = C.branches(df.limit(0), "reply_to")
+    assert none.collect() == left.collect() == []

@@ -23,7 +23,7 @@ def greedy(places, core):
 @given(st.lists(st.lists(st.integers(1, 30), min_size=1, max_size=40), min_size=1, max_size=6), st.integers(30, 60))
 def test_pointer_doubling_equals_greedy(gaps, core):
     places = [np.concatenate([[0], np.cumsum(g)]) for g in gaps]
-    assert [c.tolist() for c in S.greedy_cuts(places, core)] == [greedy(p.tolist(), core) for p in places]
+    assert [c.tolist() for c in S.Successors(places, core).cuts()] == [greedy(p.tolist(), core) for p in places]
 
 
 @pytest.mark.parametrize(
@@ -39,7 +39,7 @@ def test_pointer_doubling_equals_greedy(gaps, core):
     ],
 )
 def test_kinds(text, kind):
-    assert S.boundaries(text, 25)[0] == kind
+    assert S.cut([text, text], 25)[1][0] == kind
 
 
 def test_pieces(spark):
@@ -76,3 +76,9 @@ def test_very_long_text(spark):
     df = spark.createDataFrame([("a", t)], "id string, content string")
     r = S.split(df, "id", "content").orderBy("chunk_index").collect()
     assert max(len(x.piece) for x in r) <= 3000 and r[-1].char_end == len(t)
+
+
+def test_kinds_come_from_the_successor_table():
+    table = S.Successors([np.array([0, 10, 20]), np.array([0, 30, 40]), np.array([0, 5])], 25)
+    assert table.legal().tolist() == [True, False, True]
+    assert S.Successors([], 25).cuts() == [] and S.cut([], 25) == []
