@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.operators.joins import lookup, spread
-from siftwell.runtime import materialize
+from siftwell.runtime import balanced, materialize
 
 #: Generator polynomial of the code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
@@ -301,7 +301,7 @@ def shingle_sets(records: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 yield pd.DataFrame({"id": some, "shingles": [h[f : f + c] for f, c in zip(s.first, s.count)]})
 
     kind = records.schema["id"].dataType.simpleString()
-    sets = records.withColumn("h", F.xxhash64("id")).mapInPandas(run, f"id {kind}, shingles array<long>")
+    sets = balanced(records).withColumn("h", F.xxhash64("id")).mapInPandas(run, f"id {kind}, shingles array<long>")
     return sets.join(ids, "id").dropDuplicates(["id", "c1"])
 
 
@@ -349,7 +349,7 @@ def near_duplicates(
         raise ValueError("least must be at least width")
     spark = records.sparkSession
     rec = records.select(F.col(key).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    rows = materialize(sketches(rec, width, least))
+    rows = materialize(sketches(balanced(rec), width, least))
     ids = rows.where("id is not null")
     classes = materialize(ids.groupBy("c1", "c2", "n").agg(F.min("id").alias("class_id"), F.count("*").alias("_n")))
     n_records = classes.agg(F.sum("_n")).first()[0] or 0

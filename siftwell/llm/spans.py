@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.operators.joins import lookup
-from siftwell.runtime import materialize
+from siftwell.runtime import balanced, materialize
 
 #: Characters hashed at once, and the largest filter of keys in bits (64 MB). A fuller filter lets more keys pass; the result stays the same.
 STRIP, MOST_BITS = 1 << 20, 1 << 29
@@ -192,7 +192,7 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 200) -> DataFr
                 yield pd.DataFrame({"h": s.hashes(at, block).view(np.int64), "_c1": cls[s.owner[own]], key: keys[s.owner[own]], "at": (s.offset[own] + start - s.start[own]).astype(np.int32), "n": n.astype(np.int32)})
 
     # one row for each run of stretches with the same anchor: its first stretch and how many there are
-    runs = materialize(docs.select(key, "_text", "_c1").mapInPandas(choose, f"h long, _c1 long, `{key}` {ktype}, at int, n int"))
+    runs = materialize(balanced(docs.select(key, "_text", "_c1")).mapInPandas(choose, f"h long, _c1 long, `{key}` {ktype}, at int, n int"))
     hits = materialize(runs.groupBy("h").agg(F.min("_c1").alias("a"), F.max("_c1").alias("z"), F.count("*").alias("_n")).where("a <> z").select("h", "_n"))
     # the runs of one document, so never more than it has characters
     packed = F.flatten(F.collect_list(F.array(F.shiftleft(F.col("at").cast("long"), 32) + F.col("n"), F.col("h"))))

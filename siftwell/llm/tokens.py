@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.runtime import balanced
+
 #: Vocabulary file (ranks of a byte-level BPE); never copied, only read.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pattern that splits texts before the merges of that vocabulary (fixed value).
@@ -95,4 +97,4 @@ def sizes(
                 b["curve"] = hilbert((side / (1 + np.exp(-v))).astype(np.int64), bits)
             yield b
 
-    return df.select(key, *keep, F.col(text).alias("_text")).mapInPandas(run, schema)
+    return balanced(df.select(key, *keep, F.col(text).alias("_text"))).mapInPandas(run, schema)
