@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import estimate_tokens
-from siftwell.operators.graph import clean
 
 #: Categories of entity types, in the order in which they are put out.
 CATEGORIES = {
@@ -61,7 +60,8 @@ def expand(results: DataFrame, edges: DataFrame, entities: DataFrame, budget: in
     own = results.select("query_id", "entity_id", "score")
     typed = own.join(e.select("entity_id", "type"), "entity_id")
     rel = F.upper("relationship")
-    g = clean(edges)
+    # repeated rows of an edge need not be dropped, as the first place of each candidate counts; so edges are only scanned
+    g = edges.where(F.col("source_id").isNotNull() & F.col("target_id").isNotNull()).withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     inward = g.where(rel == "CONTAINS").select(F.col("target_id").alias("entity_id"), F.col("source_id").alias("other"), "id", "weight")
     outward = g.where(rel.isin("IMPORTS", "USES", "IMPLEMENTS", "EXTENDS")).select(F.col("source_id").alias("entity_id"), F.col("target_id").alias("other"), "id", "weight", rel.alias("rel"))
     a = own.join(inward, "entity_id").select("query_id", "entity_id", "score", "other", "id", "weight", F.lit(0).alias("kind"))

@@ -1,19 +1,25 @@
 """Graph operators on edge tables: id, source_id, target_id, relationship, weight.
 
-Traversals advance a frontier by one join per hop, for all start nodes of a batch at once, and
-write each hop to the shared folder. Edges are only scanned, never shuffled as long as the frontier is
-small enough for Spark to broadcast it; beyond that a hub's edges are split by the adaptive skew join, as the
-frontier has one row per node and start. Traversals without a bound keep the two columns they need.
+Traversals of a graph of up to ``SMALL`` ways carry it, as numbers, to every task and walk it there, the starts being
+spread over the tasks. Larger graphs advance a frontier by one join per hop, for all start nodes of a batch at once, and
+write each hop to the shared folder; a hub's edges are split by the adaptive skew join, as the
+frontier has one row per node and start. Both ways give the same rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwell.runtime import materialize
+from siftwell.runtime import materialize, partitions
+
+#: Ways (edges, or twice the edges where they are walked both ways) up to which a graph is broadcast: at most some 100 MB with the names of its nodes.
+SMALL = 1_000_000
 
 
 def clean(edges: DataFrame, types: list[str] | None = None, min_weight: float | None = None) -> DataFrame:
@@ -31,8 +37,54 @@ def steps(edges: DataFrame, direction: str = "both") -> DataFrame:
     return {"out": out, "in": back, "both": out.unionByName(back)}[direction]
 
 
-#: Hops up to which the edge table is read for every hop rather than stored in a reduced form first.
-SCANS = 3
+class Ways:
+    """A small graph as arrays: the ways of node i are ``first[i]`` to ``first[i + 1]``, heaviest first, then by edge id."""
+
+    def __init__(self, ways: pd.DataFrame) -> None:
+        ends = pd.concat([ways["a"], ways["b"]])
+        code, self.names = pd.factorize(ends, sort=True)
+        a, b = code[: len(ways)], code[len(ways) :]
+        order = np.lexsort((pd.factorize(ways["id"], sort=True)[0], -ways["weight"].to_numpy(np.float64), a)) if "id" in ways else np.argsort(a, kind="stable")
+        self.to = b[order].astype(np.int32)
+        self.first = np.searchsorted(a[order], np.arange(len(self.names) + 1))
+        self.number = None
+
+    def find(self, name: str) -> int:
+        """Number of a node, or -1."""
+        i = int(np.searchsorted(self.names, name)) if len(self.names) else 0
+        return i if i < len(self.names) and self.names[i] == name else -1
+
+    def levels(self, start: int, depth: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Hop by hop the nodes met for the first time, and the node that each was met from.
+
+        Nodes of a hop come in the order of their best path, so that the first way that leads to a node is its best.
+        """
+        seen = np.zeros(len(self.names), dtype=bool)
+        seen[start] = True
+        front, hop = np.array([start]), 0
+        while len(front) and (depth is None or hop < depth):
+            n = self.first[front + 1] - self.first[front]
+            at = np.repeat(self.first[front], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            to, by = self.to[at], np.repeat(front, n)
+            new = ~seen[to]
+            to, by = to[new], by[new]
+            _, i = np.unique(to, return_index=True)
+            i.sort()
+            front, hop = to[i], hop + 1
+            seen[front] = True
+            if len(front):
+                yield hop, front, by[i]
+
+
+def _small(ways: DataFrame):
+    """The graph broadcast, if it has no more than SMALL ways."""
+    few = ways.limit(SMALL + 1).toPandas() if ways.count() <= SMALL else None
+    return None if few is None else ways.sparkSession.sparkContext.broadcast(Ways(few))
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Starts dealt to the tasks; few rows each, as each is a search of its own."""
+    return df.repartition(max(partitions(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism))
 
 
 def distances(edges: DataFrame, starts: DataFrame, direction: str = "out", depth: int | None = None) -> DataFrame:
@@ -40,10 +92,27 @@ def distances(edges: DataFrame, starts: DataFrame, direction: str = "out", depth
 
     Breadth first; ends when a hop brings nothing new, or after ``depth`` hops.
     """
-    ways = steps(edges, direction).where("a <> b").select("a", "b")
-    if depth is None or depth > SCANS:
-        ways = materialize(ways)
-    frontier = materialize(starts.select(F.col("node").alias("start"), "node").where(F.col("node").isNotNull()).distinct().withColumn("depth", F.lit(0)))
+    ways = materialize(steps(edges, direction).where("a <> b").select("a", "b"))
+    first = starts.select(F.col("node").alias("start")).where(F.col("node").isNotNull()).distinct()
+    small = _small(ways)
+    if small is None:
+        return _hops(ways, first, depth)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = small.value
+        for b in batches:
+            for name in b["start"]:
+                yield pd.DataFrame({"start": [name], "node": [name], "depth": [0]})
+                i = g.find(name)
+                for hop, nodes, _ in g.levels(i, depth) if i >= 0 else ():
+                    yield pd.DataFrame({"start": name, "node": g.names[nodes], "depth": hop})
+
+    return _spread(first).mapInPandas(walk, "start string, node string, depth int")
+
+
+def _hops(ways: DataFrame, first: DataFrame, depth: int | None) -> DataFrame:
+    """``distances`` by one join per hop. What was seen is kept in one table, rewritten every few hops."""
+    frontier = materialize(first.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")))
     seen, hop = frontier, 0
     while depth is None or hop < depth:
         hop += 1
@@ -52,6 +121,8 @@ def distances(edges: DataFrame, starts: DataFrame, direction: str = "out", depth
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if hop % 4 == 0:
+            seen = materialize(seen)
     return seen
 
 
@@ -89,7 +160,8 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, longest: int = 5, most: int
     """start, goal, path, edges, weight, length, rank: directed paths without repeated nodes, the shortest ``most`` of each pair.
 
     Parallel edges make different paths. Ties go to the greater weight, then to the edge ids. Only partial
-    paths whose end can still reach the goal in the hops that are left are carried on.
+    paths whose end can still reach the goal in the hops that are left are carried on, and none of a pair that has
+    ``most`` paths already, as longer ones can't be among its shortest.
     """
     ways = steps(edges, "out").where("a <> b")
     goals = pairs.select(F.col("goal").alias("node")).distinct()
@@ -108,7 +180,8 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, longest: int = 5, most: int
             )
         )
         found.append(grow.where("a = goal"))
-        grow = grow.where("a <> goal")
+        done = reduce(DataFrame.unionByName, found).groupBy("start", "goal").agg(F.count("*").alias("_k")).where(F.col("_k") >= most)
+        grow = grow.where("a <> goal").join(materialize(done.drop("_k")), ["start", "goal"], "left_anti")
     order = Window.partitionBy("start", "goal").orderBy(F.size("edges"), F.col("weight").desc(), F.col("edges"))
     paths = reduce(DataFrame.unionByName, found).drop("a")
     return paths.withColumn("length", F.size("edges")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
@@ -118,22 +191,67 @@ def shortest_path(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """start, goal, path, length: a directed path of fewest hops for each pair that has one; of several the one whose
     edges are heaviest step by step, then of least ids. A pair of one node has a path of length 0."""
     ways = materialize(steps(edges, "out").where("a <> b"))
-    frontier = materialize(pairs.select("start", F.col("start").alias("node")).distinct().withColumn("path", F.array("start")).withColumn("_o", F.array().cast("array<struct<w:double,i:string>>")))
-    seen = frontier.select("start", "node", "path")
-    open_ = pairs.select("start", "goal").where("start <> goal").distinct()
+    asked = pairs.select("start", "goal").where(F.col("start").isNotNull() & F.col("goal").isNotNull()).distinct()
+    small = _small(ways)
+    if small is None:
+        return _path_hops(ways, asked)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = small.value
+        for b in batches:
+            for start, goals in zip(b["start"], b["goals"]):
+                left = {g.find(x): x for x in goals if x != start and g.find(x) >= 0}
+                rows, i = [(start, x, [start]) for x in goals if x == start], g.find(start)
+                back = np.full(len(g.names), -1, np.int32)
+                for _, nodes, by in g.levels(i, None) if i >= 0 and left else ():
+                    back[nodes] = by
+                    for n in [n for n in left if back[n] >= 0]:
+                        path = [n]
+                        while path[-1] != i:
+                            path.append(int(back[path[-1]]))
+                        rows.append((start, left.pop(n), g.names[path[::-1]].tolist()))
+                    if not left:
+                        break
+                yield pd.DataFrame(rows, columns=["start", "goal", "path"])
+
+    # the goals of a start are dealt to rows of bounded size
+    dealt = asked.groupBy("start", F.pmod(F.xxhash64("goal"), F.lit(64)).alias("_d")).agg(F.collect_list("goal").alias("goals"))
+    found = _spread(dealt.select("start", "goals")).mapInPandas(walk, "start string, goal string, path array<string>")
+    return found.withColumn("length", F.size("path") - 1)
+
+
+def _path_hops(ways: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``shortest_path`` by one join per hop: for each node met the best way into it, and the paths by going back.
+
+    A row holds start, node, the node before and its place among the paths of its hop, never a whole path.
+    """
+    frontier = materialize(pairs.select("start", F.col("start").alias("node")).distinct().select("start", "node", F.lit(None).cast("string").alias("before"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("place")))
+    seen = frontier
+    open_ = materialize(pairs.where("start <> goal"))
+    hop = 0
     while True:
-        step = F.array(F.struct((-F.col("weight")).alias("w"), F.col("id").alias("i")))
-        reached = ways.join(frontier.withColumnRenamed("node", "a"), "a").select(
-            "start", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"), F.concat("_o", step).alias("_o")
-        )
-        one = reached.groupBy("start", "node").agg(F.min_by(F.struct("path", "_o"), F.col("_o")).alias("x")).select("start", "node", "x.path", "x._o")
-        frontier = materialize(one.join(seen, ["start", "node"], "left_anti"))
-        seen = seen.unionByName(frontier.select("start", "node", "path"))
+        hop += 1
+        way = F.struct("place", (-F.col("weight")).alias("w"), "id")
+        reached = ways.join(frontier.select("start", F.col("node").alias("a"), "place"), "a").select("start", F.col("b").alias("node"), F.struct(way.alias("k"), F.col("a").alias("before")).alias("x"))
+        one = reached.groupBy("start", "node").agg(F.min("x").alias("x")).join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        rank = F.row_number().over(Window.partitionBy("start").orderBy("x.k"))
+        frontier = materialize(one.select("start", "node", "x.before", F.lit(hop).alias("depth"), rank.cast("long").alias("place")))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
         open_ = materialize(open_.join(frontier.select("start", F.col("node").alias("goal")), ["start", "goal"], "left_anti"))
         frontier = frontier.join(open_.select("start").distinct(), "start", "left_semi")
-        if frontier.isEmpty():
+        if open_.isEmpty():
             break
-    return pairs.select("start", "goal").distinct().join(seen.withColumnRenamed("node", "goal"), ["start", "goal"]).withColumn("length", F.size("path") - 1)
+    seen = materialize(seen)
+    path = pairs.join(seen.select("start", F.col("node").alias("goal"), "before", F.col("depth").alias("length")), ["start", "goal"])
+    path = materialize(path.select("start", "goal", F.array("goal").alias("path"), "before", "length"))
+    for _ in range(path.agg(F.max("length")).first()[0] or 0):
+        step = seen.select("start", F.col("node").alias("before"), F.col("before").alias("_b"))
+        on = path.where("before is not null").join(step, ["start", "before"])
+        on = on.select("start", "goal", F.concat(F.array("before"), "path").alias("path"), F.col("_b").alias("before"), "length")
+        path = materialize(path.where("before is null").unionByName(on))
+    return path.select("start", "goal", "path", "length")
 
 
 def connected(edges: DataFrame, pairs: DataFrame, longest: int = 5) -> DataFrame:

@@ -2,39 +2,68 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.text import split_identifier
+from siftwell.runtime import balanced, materialize
 
 K1, B = 1.2, 0.75
-#: Most queries of a batch that are matched as substrings at once (they become literals of the plan).
-SUBSTRINGS = 1_000
+#: Patterns that one scan matches as substrings (they become literals of its plan); more patterns take more scans.
+SUBSTRINGS = 500
+#: Words of a batch up to which they are broadcast; more are joined by shuffles.
+WORDS = 100_000
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+
+
+def _terms(df: DataFrame, key: str, *fields: str) -> DataFrame:
+    """doc, len, term: one row for each token."""
+    x = df.select(F.col(key).alias("doc"), tokens(F.concat_ws(" ", *fields)).alias("_t"))
+    # the length is taken before the rows are exploded, or it would be computed for each of them anew
+    return x.select("doc", F.size("_t").alias("len"), "_t").select("doc", "len", F.explode("_t").alias("term"))
 
 
 def postings(df: DataFrame, key: str, *fields: str) -> DataFrame:
     """doc, term, tf, len: the inverted index of the given text columns. Documents without a token have no rows.
 
-    To be written once (partitioned or sorted by term) and read by every batch of queries.
+    To be written once (see ``index``) and read by every batch of queries.
     """
-    x = df.select(F.col(key).alias("doc"), tokens(F.concat_ws(" ", *fields)).alias("_t"))
-    # the length is taken before the rows are exploded, or it would be computed for each of them anew
-    x = x.select("doc", F.size("_t").alias("len"), "_t").select("doc", "len", F.explode("_t").alias("term"))
-    return x.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    return _terms(df, key, *fields).groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
 def stats(df: DataFrame, *fields: str) -> DataFrame:
     """One row: n documents and their average length in tokens."""
-    n = F.size(tokens(F.concat_ws(" ", *fields)))
+    n = F.regexp_count(F.lower(F.concat_ws(" ", *fields)), F.lit(r"[\p{L}\p{N}]+"))
     return df.agg(F.count("*").alias("n_docs"), F.avg(n).alias("avg_len"))
 
 
+def _words(terms: DataFrame) -> DataFrame:
+    """Distinct words of a batch (a stored table) and their first two characters; broadcast if they are few enough."""
+    words = terms.select("qterm").distinct().withColumn("_p", F.substring("qterm", 1, 2))
+    return F.broadcast(words) if terms.count() <= WORDS else words
+
+
+def scan(df: DataFrame, key: str, fields: list[str], terms: DataFrame, prefix: bool = True) -> DataFrame:
+    """query_id, qterm, doc, tf, len: as ``matches`` on the postings of ``df``, without an index.
+
+    Tokens that no query asks for are left out where they are read, so that only hits are grouped.
+    """
+    words = _words(terms)
+    each = _terms(df, key, *fields)
+    if prefix:
+        each = each.withColumn("_p", F.substring("term", 1, 2)).join(words, "_p").where(F.expr("startswith(term, qterm)"))
+    else:
+        each = each.withColumnRenamed("term", "qterm").join(words.select("qterm"), "qterm")
+    return each.groupBy("qterm", "doc").agg(F.count("*").alias("tf"), F.first("len").alias("len")).join(terms, "qterm")
+
+
 def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
     """query_id, qterm: distinct parts of a query, identifiers split, of more than one character."""
     words = F.filter(F.split(F.regexp_replace(text, "[\"']", ""), r"\s+"), lambda w: w != "")
@@ -47,27 +76,37 @@ def matches(index: DataFrame, terms: DataFrame, prefix: bool = True) -> DataFram
     """query_id, qterm, doc, tf, len: postings whose term is, or begins with, a query's term. The join is on the first two characters."""
     if not prefix:
         return index.join(terms.withColumnRenamed("qterm", "term"), "term").withColumnRenamed("term", "qterm")
-    words = terms.select("qterm").distinct().withColumn("_p", F.substring("qterm", 1, 2))
-    hits = index.withColumn("_p", F.substring("term", 1, 2)).join(words, "_p").where(F.expr("startswith(term, qterm)"))
+    hits = index.withColumn("_p", F.substring("term", 1, 2)).join(_words(terms), "_p").where(F.expr("startswith(term, qterm)"))
     hits = hits.groupBy("qterm", "doc").agg(F.sum("tf").alias("tf"), F.first("len").alias("len"))
     return hits.join(terms, "qterm")
 
 
-def bm25(index: DataFrame, corpus: DataFrame, queries: DataFrame, text: str = "text", prefix: bool = True, all_terms: bool = False) -> DataFrame:
-    """query_id, doc, score. ``prefix``: a term also matches what begins with it; ``all_terms``: every term has to match."""
-    terms = query_terms(queries, text)
-    hits = matches(index, terms, prefix)
-    df = hits.groupBy("qterm").agg(F.countDistinct("doc").alias("df"))
-    one = F.lit(1).alias("_1")
-    scored = hits.join(df, "qterm").select("*", one).join(F.broadcast(corpus.select("*", one)), "_1")  # corpus is one row
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+def ranked(hits: DataFrame, corpus: DataFrame, terms: DataFrame, all_terms: bool = False) -> DataFrame:
+    """query_id, doc, score (BM25) of the hits of ``scan`` or ``matches``. ``all_terms``: every term has to match."""
+    hits = materialize(hits)
+    df = hits.select("qterm", "doc").distinct().groupBy("qterm").agg(F.count("*").alias("df"))
+    n_docs, avg_len = corpus.first()
+    scored = hits.join(df, "qterm")
+    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(avg_len)))
     out = scored.groupBy("query_id", "doc").agg(F.sum(idf * tf).alias("score"), F.count("*").alias("_hits"))
     if all_terms:
         out = out.join(terms.groupBy("query_id").agg(F.count("*").alias("_all")), "query_id").where("_hits = _all")
     return out.select("query_id", "doc", "score")
 
 
+def bm25(index: DataFrame, corpus: DataFrame, queries: DataFrame, text: str = "text", prefix: bool = True, all_terms: bool = False) -> DataFrame:
+    """query_id, doc, score from stored postings. ``prefix``: a term also matches what begins with it."""
+    terms = materialize(query_terms(queries, text))
+    return ranked(matches(index, terms, prefix), corpus, terms, all_terms)
+
+
+def bm25_scan(df: DataFrame, key: str, fields: list[str], queries: DataFrame, text: str = "text", prefix: bool = True, all_terms: bool = False) -> DataFrame:
+    """query_id, doc, score straight from the texts: two scans, and a shuffle of the hits alone."""
+    terms, df = materialize(query_terms(queries, text)), balanced(df.select(key, *dict.fromkeys(fields)))
+    return ranked(scan(df, key, fields, terms, prefix), stats(df, *fields), terms, all_terms)
+
+
 def top(df: DataFrame, n: int, by: str = "query_id", score: str = "score", tie: str = "doc") -> DataFrame:
     """The ``n`` best rows of each query, with their rank from 1; ties go to the lesser key."""
     order = Window.partitionBy(by).orderBy(F.col(score).desc(), F.col(tie))
@@ -90,14 +129,17 @@ def qualified_suffix(entities: DataFrame, queries: DataFrame, text: str = "text"
 
 
 def substrings(df: DataFrame, key: str, fields: list[str], patterns: dict[object, str]) -> DataFrame:
-    """query_id, doc: rows in which a pattern occurs in one of the fields, case aside. No join: the patterns are literals of one scan."""
-    if len(patterns) > SUBSTRINGS:
-        raise ValueError(f"at most {SUBSTRINGS} patterns at once")
-    hits = [
-        F.when(F.greatest(*[F.coalesce(F.instr(F.lower(f), p.lower()), F.lit(0)) for f in fields] + [F.lit(0)]) > 0, F.lit(q)) for q, p in patterns.items()
-    ]
-    found = F.array_compact(F.array(*hits)) if hits else F.array()
-    return df.select(F.explode(found).alias("query_id"), F.col(key).alias("doc"))
+    """query_id, doc: rows in which a pattern occurs in one of the fields, case aside. No join: the patterns are literals, SUBSTRINGS to a scan."""
+    given = list(patterns.items())
+    parts = []
+    for i in range(0, max(1, len(given)), SUBSTRINGS):
+        hits = [
+            F.when(F.greatest(*[F.coalesce(F.instr(F.lower(f), p.lower()), F.lit(0)) for f in fields] + [F.lit(0)]) > 0, F.lit(q))
+            for q, p in given[i : i + SUBSTRINGS]
+        ]
+        found = F.array_compact(F.array(*hits)) if hits else F.array()
+        parts.append(df.select(F.explode(found).alias("query_id"), F.col(key).alias("doc")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def all_terms(df: DataFrame, key: str, field: str, query: str) -> DataFrame:
@@ -111,12 +153,12 @@ def tiered(entities: DataFrame, queries: DataFrame, limit: int, compat: bool = F
     none of these finds anything; each entity by its first tier.
 
     Full text scores r / (1 + r) of its BM25 score r, or 1 / (1 + r) with ``compat``, which falls with relevance.
-    Blank queries find nothing here. The queries of a batch without hits are read by the driver, at most SUBSTRINGS.
+    Blank queries find nothing here. The queries of a batch without hits are read by the driver, as their texts become literals.
     """
-    q = queries.where(F.trim("text") != "")
+    q = materialize(queries.where(F.trim("text") != "").select("query_id", "text"))
     fields = ["name", "content", "summary"]
     # rounded, so that scores that differ by rounding alone are ties
-    r = bm25(postings(entities, "id", *fields), stats(entities, *fields), q).withColumn("score", F.round("score", 9))
+    r = bm25_scan(entities, "id", fields, q).withColumn("score", F.round("score", 9))
     fts = F.lit(1.0) / (1 + F.col("score")) if compat else F.col("score") / (1 + F.col("score"))
     none = F.lit(0.0)
     hits = (
@@ -124,7 +166,8 @@ def tiered(entities: DataFrame, queries: DataFrame, limit: int, compat: bool = F
         .unionByName(qualified_suffix(entities, q).select("query_id", "doc", F.lit(2).alias("tier"), F.lit(0.95).alias("score"), none.alias("bm25")))
         .unionByName(r.select("query_id", "doc", F.lit(3).alias("tier"), fts.alias("score"), F.col("score").alias("bm25")))
     )
-    bare = q.join(hits.select("query_id").distinct(), "query_id", "left_anti").limit(SUBSTRINGS + 1).collect()
+    hits = materialize(hits)
+    bare = q.join(hits.select("query_id").distinct(), "query_id", "left_anti").collect()
     if bare:
         like = substrings(entities, "id", fields, {x["query_id"]: x["text"].strip() for x in bare})
         hits = hits.unionByName(like.select("query_id", "doc", F.lit(4).alias("tier"), F.lit(0.3).alias("score"), none.alias("bm25")))

@@ -13,29 +13,35 @@ from siftwell.runtime import read
 
 _EDGE = """edge AS (SELECT DISTINCT ON (id) id, source_id, target_id, relationship, coalesce(weight, 1.0) AS weight FROM relationships
   WHERE source_id IS NOT NULL AND target_id IS NOT NULL)"""
-#: The start nodes: the entities whose name begins with this.
-_START = "readI"
-
-
 def edges(spark: SparkSession, d: str, *types: str) -> DataFrame:
     return G.clean(read(spark, d, "relationships"), list(types) or None)
 
 
-def starts(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "entities").where(F.col("name").startswith(_START)).select(F.col("id").alias("node")).distinct()
+def _fiftieth(c):
+    """The query set: ids whose hash is divisible by 50."""
+    return F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long") % 50 == 0
 
 
-_STARTS = f"starts AS (SELECT DISTINCT id AS node FROM entities WHERE starts_with(name, '{_START}'))"
+def starts(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "entities").where(_fiftieth(F.col("id"))).select(F.col("id").alias("node")).distinct()
 
 
-def pairs(spark: SparkSession, d: str) -> DataFrame:
-    """From each start to each entity whose name begins with ``Durable``; equal keys of a constant, both sides being few."""
-    goals = read(spark, d, "entities").where(F.col("name").startswith("DurableP")).select(F.col("id").alias("goal")).distinct()
-    one = F.lit(1).alias("_k")
-    return starts(spark, d).select(F.col("node").alias("start"), one).join(goals.select("goal", one), "_k").drop("_k").where("start <> goal")
+_STARTS = "starts AS (SELECT DISTINCT id AS node FROM entities WHERE ('0x' || substring(md5(id), 1, 8))::BIGINT % 50 = 0)"
 
 
-_PAIRS = f"""{_STARTS}, pairs AS (SELECT node AS start, g.id AS goal FROM starts, (SELECT DISTINCT id FROM entities WHERE starts_with(name, 'DurableP')) g WHERE node <> g.id)"""
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    """From each start to the ends of a fiftieth of its edges, and to the entities whose hash begins as its own does (one in 4,096)."""
+    s = starts(spark, d)
+    r = edges(spark, d).select("source_id", "target_id")
+    goals = r.where(_fiftieth(F.concat("source_id", F.lit("|"), "target_id")))
+    near = goals.select(F.col("source_id").alias("start"), F.col("target_id").alias("goal")).join(s.select(F.col("node").alias("start")), "start", "left_semi")
+    far = s.select(F.col("node").alias("start"), F.substring(F.md5("node"), 1, 3).alias("_k"))
+    other = read(spark, d, "entities").select(F.col("id").alias("goal"), F.substring(F.md5(F.concat(F.lit("x"), "id")), 1, 3).alias("_k")).distinct()
+    return near.unionByName(far.join(other, "_k").select("start", "goal")).where("start <> goal").distinct()
+
+
+_PAIRS = f"""{_STARTS}, pairs AS (SELECT source_id AS start, target_id AS goal FROM edge WHERE ('0x' || substring(md5(source_id || '|' || target_id), 1, 8))::BIGINT % 50 = 0 AND source_id IN (FROM starts) AND source_id <> target_id
+  UNION SELECT node, id FROM starts JOIN (SELECT DISTINCT id FROM entities) g ON substring(md5(node), 1, 3) = substring(md5('x' || id), 1, 3) WHERE node <> id)"""
 
 
 def graph_degree_topn(spark, d):

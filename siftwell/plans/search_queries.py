@@ -11,7 +11,7 @@ from siftwell.functions import text as T
 from siftwell.operators import context as X
 from siftwell.operators import entities as E
 from siftwell.operators import fusion, search, vectors
-from siftwell.runtime import read
+from siftwell.runtime import materialize, read
 
 #: A batch of questions on the tables.
 BATCH = (
@@ -27,7 +27,7 @@ _BATCH = f"batch(query_id, text) AS (VALUES {_VALUES})"
 
 
 def batch(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(BATCH, "query_id int, text string")
+    return spark.sql(f"SELECT * FROM VALUES {_VALUES} AS batch(query_id, text)")
 
 
 def ents(spark: SparkSession, d: str) -> DataFrame:
@@ -44,7 +44,7 @@ def r6(c):
 
 def keyword_bm25_topk(spark, d):
     docs = read(spark, d, "documents")
-    hits = search.bm25(search.postings(docs, "doc_id", "text"), search.stats(docs, "text"), batch(spark), prefix=False)
+    hits = search.bm25_scan(docs, "doc_id", ["text"], batch(spark), prefix=False)
     # rounded before the cut, so that scores that differ by rounding alone are ties
     return search.top(hits.withColumn("score", r6("score")), 10).select("query_id", F.col("doc").alias("doc_id"), "score", "rank")
 
@@ -68,7 +68,7 @@ QUALIFY rank <= 10"""
 
 
 def tiered_search_scored(spark, d):
-    return search.tiered(ents(spark, d), batch(spark), 20).select("query_id", F.col("doc").alias("entity_id"), "tier", r6("score").alias("score"))
+    return search.tiered(materialize(ents(spark, d)), batch(spark), 20).select("query_id", F.col("doc").alias("entity_id"), "tier", r6("score").alias("score"))
 
 
 def exact_name_search(spark, d):
@@ -99,9 +99,10 @@ def _embeddings(spark, d):
     return read(spark, d, "embeddings")
 
 
-def _questions(spark, d, which="vec_id < 20"):
+def _questions(spark, d):
+    """The query set: every vector whose id is divisible by 50."""
     e = _embeddings(spark, d)
-    return e.where(which).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def knn_topk(spark, d):
@@ -121,30 +122,9 @@ def knn_type_filter(spark, d):
     return vectors.knn(x, _questions(spark, d), 10, threshold=0.05, allowed=allowed).select("query_id", "entity_id", r6("score").alias("score"), "rank")
 
 
-#: The query set that grows with the table; the SQL of the three queries above has the first 20 ids.
-_FIFTIETH = "vec_id % 50 = 0"
-
-
-def knn_topk_fiftieth(spark, d):
-    e = _embeddings(spark, d).select(F.col("vec_id").alias("entity_id"), "embedding")
-    return vectors.knn(e, _questions(spark, d, _FIFTIETH), 10).select("query_id", "entity_id", r6("score").alias("score"), "rank")
-
-
-def knn_best_chunk_dedup_fiftieth(spark, d):
-    e = _embeddings(spark, d).select(F.floor(F.col("vec_id") / 4).alias("entity_id"), "embedding")
-    return vectors.knn(e, _questions(spark, d, _FIFTIETH), 10).select("query_id", "entity_id", r6("score").alias("score"), "rank")
-
-
-def knn_type_filter_fiftieth(spark, d):
-    e = _embeddings(spark, d)
-    allowed = e.where("label in (1, 2)").select(F.col("vec_id").alias("entity_id"))
-    x = e.select(F.col("vec_id").alias("entity_id"), "embedding")
-    return vectors.knn(x, _questions(spark, d, _FIFTIETH), 10, threshold=0.05, allowed=allowed).select("query_id", "entity_id", r6("score").alias("score"), "rank")
-
-
 def _knn_sql(entity: str, where: str = "true", threshold: float = -1.0) -> str:
     return f"""
-WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 20),
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, {entity} AS entity_id, max(coalesce(list_cosine_similarity(v, embedding::DOUBLE[]), 0)) AS score FROM q, embeddings WHERE {where} GROUP BY 1, 2)
 SELECT query_id, entity_id, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id))::INT AS rank
 FROM s WHERE score >= {threshold} QUALIFY rank <= 10"""
@@ -176,7 +156,8 @@ def rrf_fusion(spark, d):
 
 
 def heuristic_rerank(spark, d):
-    return fusion.rerank(fusion.rrf(_results(spark, d)), batch(spark), ents(spark, d)).select("query_id", "entity_id", r6("score").alias("score"))
+    fused = materialize(fusion.rrf(_results(spark, d)))
+    return fusion.rerank(fused, batch(spark), ents(spark, d)).select("query_id", "entity_id", r6("score").alias("score"))
 
 
 _FACTOR = """(CASE WHEN lower(name) = lower(text) THEN 3.0 ELSE 1 END)
@@ -220,16 +201,16 @@ SELECT file_path, pos::INT AS pos, id, t AS tokens FROM f WHERE took"""
 
 def context_assemble(spark, d):
     """The whole way: keyword tiers, fusion, reranking, expansion and assembly for the batch."""
-    e = ents(spark, d)
+    e = materialize(ents(spark, d))
     hits = search.tiered(e, batch(spark), 20).select("query_id", F.col("doc").alias("entity_id"), "score", F.lit("keyword").alias("source"))
-    ranked = fusion.rerank(fusion.rrf(hits), batch(spark), e, limit=10)
+    ranked = materialize(fusion.rerank(fusion.rrf(materialize(hits)), batch(spark), e, limit=10))
     grown = X.expand(ranked, read(spark, d, "relationships"), e)
     return X.assemble(grown.select("query_id", "entity_id", "score"), e)
 
 
 def context_query(spark, d):
     """The flagship: gate, parse, keyword and graph strategies, fusion, reranking, expansion, assembly, confidence."""
-    got = retrieval.context_query(batch(spark), ents(spark, d), read(spark, d, "relationships"))
+    got = retrieval.context_query(batch(spark), materialize(ents(spark, d)), read(spark, d, "relationships"))
     return got.select("query_id", "retrieve", "reason", "context", "tokens", "sources", "truncated", r6("confidence").alias("confidence"))
 
 
@@ -248,7 +229,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         keyword_bm25_topk, tiered_search_scored, exact_name_search, like_substring_search, term_and_search, message_search_stemmed, knn_topk,
-        knn_best_chunk_dedup, knn_type_filter, knn_topk_fiftieth, knn_best_chunk_dedup_fiftieth, knn_type_filter_fiftieth, rrf_fusion,
+        knn_best_chunk_dedup, knn_type_filter, rrf_fusion,
         heuristic_rerank, confidence_topk_decay, token_budget_prefix, budget_greedy_skip,
         context_assemble, context_query, context_expansion, query_parse,
     )

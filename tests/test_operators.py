@@ -127,7 +127,7 @@ def test_knn_of_more_queries_than_are_broadcast(spark, rows, monkeypatch):
 def test_knn_queries_are_a_fiftieth_of_the_ids(spark, tmp_path):
     x = np.random.default_rng(4).standard_normal((160, 8)).tolist()
     spark.createDataFrame([(i, r, i % 3) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    for f in (search_queries.knn_topk_fiftieth, search_queries.knn_best_chunk_dedup_fiftieth, search_queries.knn_type_filter_fiftieth):
+    for f in (search_queries.knn_topk, search_queries.knn_best_chunk_dedup, search_queries.knn_type_filter):
         assert {r.query_id for r in f(spark, str(tmp_path)).collect()} == {0, 50, 100, 150}
 
 
