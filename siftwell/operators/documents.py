@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -191,18 +193,26 @@ def suggestions(related: DataFrame, least: float = 0.5, most: int = 5) -> DataFr
     return one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
+#: Subscriptions whose patterns are literals of one scan; more of them take more scans.
+WATCHED = 500
+
+
 def subscriptions_due(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """subscription_id, event_id of events (event_id, path, ts) that an enabled subscription (id, patterns, cooldown_ms,
-    last_triggered_at) watches and whose cooldown is over. The patterns of a batch are literals of one scan, at most 1,000."""
+    last_triggered_at) watches and whose cooldown is over. The driver reads the subscriptions, as their patterns become
+    literals of scans; none of them gives no rows."""
     from siftwell.sources.files import glob_regex
 
-    subs = subscriptions.where("enabled").select("id", "patterns", "cooldown_ms", "last_triggered_at").limit(1001).collect()
-    if len(subs) > 1000:
-        raise ValueError("at most 1,000 subscriptions at once")
-    hits = []
-    for s in subs:
-        on = F.col("path").rlike("|".join(glob_regex(p) for p in s.patterns)) if s.patterns else F.lit(False)
-        if s.last_triggered_at is not None:
-            on = on & (F.unix_millis("ts") >= F.unix_millis(F.lit(s.last_triggered_at)) + (s.cooldown_ms or 0))
-        hits.append(F.when(on, F.lit(s.id)))
-    return events.select(F.explode(F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")).alias("subscription_id"), "event_id")
+    subs = subscriptions.where("enabled").select("id", "patterns", "cooldown_ms", F.unix_millis(F.col("last_triggered_at").cast("timestamp")).alias("last")).collect()
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    parts = []
+    for i in range(0, max(1, len(subs)), WATCHED):
+        hits = []
+        for s in subs[i : i + WATCHED]:
+            on = F.col("path").rlike("|".join(glob_regex(p) for p in s.patterns)) if s.patterns else F.lit(False)
+            if s.last is not None:
+                on = on & (at >= s.last + (s.cooldown_ms or 0))
+            hits.append(F.when(on, F.lit(s.id)))
+        found = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+        parts.append(events.select(F.explode(found).alias("subscription_id"), "event_id"))
+    return reduce(DataFrame.unionByName, parts)

@@ -125,6 +125,11 @@ def delete(df: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
     return df.join(gone.select(key).distinct(), key, "left_anti")
 
 
+def deleted(df: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
+    """How many rows ``delete`` takes away for each key that it finds: key, n_deleted."""
+    return df.join(gone.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.count("*").alias("n_deleted"))
+
+
 def delete_cascade(entities: DataFrame, edges: DataFrame, vectors: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Entities without those in ``gone`` (id), edges without an end in it, and vectors without an entity in it."""
     ids = gone.select("id").distinct()
