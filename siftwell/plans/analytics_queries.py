@@ -75,7 +75,7 @@ def exists_semi(spark, d):
 
 def stale_vectors(spark, d):
     e = ents(spark, d).select("id", T.content_hash(F.col("content")).alias("entity_hash"))
-    return A.stale_vectors(read(spark, d, "vectors").where("chunk_index = 0"), e).select("entity_id", "model_id").distinct()
+    return A.stale_vectors(read(spark, d, "vectors"), e).select("entity_id", "model_id").distinct()
 
 
 def entities_to_embed(spark, d):
@@ -138,17 +138,16 @@ def message_recent_k(spark, d):
 
 
 def conversation_pairs(spark, d):
-    return M.pairs(msgs(spark, d), 3).select("session_id", "id", F.col("pair").cast("int").alias("pair"))
+    return M.pairs(msgs(spark, d)).select("session_id", "id", F.col("pair").cast("int").alias("pair"))
 
 
-def transcript(spark, d):
-    x = msgs(spark, d).where("created_at is not null and position is not null")
-    return M.transcript(x, 8000).select("session_id", F.md5("transcript").alias("transcript_md5"))
+def conversation_pairs_last(spark, d):
+    return M.pairs(msgs(spark, d), 3).select("session_id", "id", F.col("pair").cast("int").alias("pair"))
 
 
-def transcript_whole(spark, d):
+def transcript(spark, d):
     """Whole sessions; messages without a time or position come first, as everywhere in the order of messages."""
-    return M.transcript(msgs(spark, d))
+    return M.transcript(msgs(spark, d)).select("session_id", F.length("transcript").alias("n_chars"), F.md5("transcript").alias("transcript_md5"))
 
 
 def latest_n_per_session(spark, d):
@@ -216,10 +215,11 @@ def query_keywords(spark, d):
 
 
 def bigram_name_similarity(spark, d):
-    """Pairs of class names of one file and how alike they are."""
-    e = ents(spark, d).where("type in ('class', 'interface', 'type', 'function') and file_path is not null and name is not null")
-    a, b = e.select("file_path", F.col("id").alias("a"), F.col("name").alias("x")), e.select("file_path", F.col("id").alias("b"), F.col("name").alias("y"))
-    return a.join(b, "file_path").where("a < b").select("a", "b", r6(T.name_similarity(F.col("x"), F.col("y"))).alias("similarity"))
+    """How alike the names at both ends of each relationship are."""
+    e = ents(spark, d).where("name is not null")
+    r = read(spark, d, "relationships").select("source_id", "target_id").distinct()
+    x = r.join(e.select(F.col("id").alias("source_id"), F.col("name").alias("x")), "source_id").join(e.select(F.col("id").alias("target_id"), F.col("name").alias("y")), "target_id")
+    return x.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), r6(T.name_similarity(F.col("x"), F.col("y"))).alias("similarity"))
 
 
 def json_prop_filter(spark, d):
@@ -252,7 +252,7 @@ QUERIES = {
         entity_type_stats, coverage_by_type, summary_coverage, vectors_by_model, orphans_anti, exists_semi, stale_vectors, entities_to_embed,
         health_report, session_stats, count_per_session_left, memory_tier_status, memory_spill_candidates, memory_prune_cold, feedback_stats,
         feedback_most_helpful, feedback_most_ignored, feedback_adjusted_scores, reflection_summary, reflection_common_failures,
-        message_recent_k, conversation_pairs, transcript, transcript_whole, latest_n_per_session, next_attempt, current_session, due_for_summary,
+        message_recent_k, conversation_pairs, conversation_pairs_last, transcript, latest_n_per_session, next_attempt, current_session, due_for_summary,
         decision_language_filter, intent_detect, gate_flags, content_hash_changes, duplicate_text_groups, line_range_merge,
         split_identifier, estimate_tokens, query_keywords, bigram_name_similarity, json_prop_filter, impact_risk_score,
         documents_by_language, chunk_count_estimate,
@@ -275,7 +275,7 @@ SQL = {
     "vectors_by_model": "SELECT model_id, count(*) AS n_vectors, count(DISTINCT entity_id) AS n_entities, count(*) - count(content_hash) AS n_without_hash FROM vectors GROUP BY 1",
     "orphans_anti": "SELECT DISTINCT entity_id, model_id, chunk_index FROM vectors v WHERE NOT EXISTS (SELECT 1 FROM entities e WHERE e.id = v.entity_id)",
     "exists_semi": f"WITH {_ENT} SELECT id, type FROM ent WHERE id IN (SELECT entity_id FROM vectors)",
-    "stale_vectors": f"WITH {_ENT} SELECT DISTINCT entity_id, model_id FROM vectors JOIN ent ON id = entity_id WHERE chunk_index = 0 AND content_hash IS DISTINCT FROM substring(sha256(content), 1, 16)",
+    "stale_vectors": f"WITH {_ENT} SELECT DISTINCT entity_id, model_id FROM vectors JOIN ent ON id = entity_id WHERE content_hash IS DISTINCT FROM substring(sha256(content), 1, 16)",
     "entities_to_embed": f"WITH {_ENT} SELECT id FROM ent WHERE NOT EXISTS (SELECT 1 FROM vectors WHERE model_id = 'nimbus-embed-64' AND entity_id = id AND content_hash = substring(sha256(content), 1, 16))",
     "health_report": f"""WITH {_ENT}, v AS (SELECT DISTINCT entity_id FROM vectors), c AS (SELECT count(entity_id) / count(*) * 100 AS coverage FROM ent LEFT JOIN v ON id = entity_id),
 o AS (SELECT count(DISTINCT id) AS n FROM relationships WHERE source_id IS NOT NULL AND target_id IS NOT NULL AND (source_id NOT IN (SELECT id FROM ent) OR target_id NOT IN (SELECT id FROM ent)))
@@ -299,9 +299,11 @@ SELECT phrase, n, (row_number() OVER (ORDER BY n DESC, phrase))::INT AS rank FRO
     "message_recent_k": f"""WITH {_MSG}, n AS (SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY {_MORD}) AS rn, count(*) OVER (PARTITION BY session_id) AS c FROM msg)
 SELECT session_id, id, (rn - greatest(c - 5, 0))::INT AS nth FROM n WHERE rn > c - 5""",
     "conversation_pairs": f"""WITH {_MSG}, n AS (SELECT session_id, id, role, row_number() OVER w AS pair, lead(role) OVER w AS r FROM msg WINDOW w AS (PARTITION BY session_id ORDER BY {_MORD}))
+SELECT session_id, id, pair::INT AS pair FROM n WHERE role = 'user' AND r = 'assistant'""",
+    "conversation_pairs_last": f"""WITH {_MSG}, n AS (SELECT session_id, id, role, row_number() OVER w AS pair, lead(role) OVER w AS r FROM msg WINDOW w AS (PARTITION BY session_id ORDER BY {_MORD}))
 SELECT session_id, id, pair::INT AS pair FROM n WHERE role = 'user' AND r = 'assistant' QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY pair DESC) <= 3""",
-    "transcript": f"""WITH {_MSG} SELECT session_id, md5(left(string_agg(concat_ws(': ', role, coalesce(content, '')), chr(10) || chr(10) ORDER BY created_at, position, id), 8000)) AS transcript_md5
-FROM msg WHERE created_at IS NOT NULL AND position IS NOT NULL GROUP BY 1""",
+    "transcript": f"""WITH {_MSG}, t AS (SELECT session_id, string_agg(concat_ws(': ', role, coalesce(content, '')), chr(10) || chr(10) ORDER BY {_MORD}) AS t FROM msg GROUP BY 1)
+SELECT session_id, length(t)::INT AS n_chars, md5(t) AS transcript_md5 FROM t""",
     "latest_n_per_session": "SELECT session_id, id FROM (SELECT DISTINCT ON (id) * FROM reflections) WHERE session_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC NULLS LAST, id) <= 3",
     "next_attempt": "SELECT session_id, (coalesce(max(attempt_number), 0) + 1)::INT AS next FROM reflections GROUP BY 1",
     "current_session": "SELECT arg_max(id, (updated_at, id)) AS session_id FROM sessions WHERE status = 'active'",
@@ -324,10 +326,10 @@ CASE WHEN contains(name, '_') THEN list_filter(string_split(name, '_'), lambda x
     "estimate_tokens": "SELECT doc_id, coalesce(ceil(length(text) / 4.0), 0)::INT AS tokens FROM documents",
     "query_keywords": f"""WITH {_ENT}, n AS (SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(trim(summary), '`([^`]+)`', '\\1', 'g'), '\\s+', ' ', 'g'), '[?!.]+$', '')) AS s FROM ent WHERE summary IS NOT NULL)
 SELECT id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(s), '[\\s\\-_.,;:!?''"()\\[\\]{{}}]+'), lambda t: length(t) >= 2 AND t NOT IN ({_STOP}) AND NOT regexp_matches(t, '^[0-9]+$')))), ' ') AS keywords FROM n""",
-    "bigram_name_similarity": f"""WITH {_ENT}, e AS (SELECT id, file_path, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS s FROM ent WHERE type IN ('class', 'interface', 'type', 'function') AND file_path IS NOT NULL AND name IS NOT NULL),
+    "bigram_name_similarity": f"""WITH {_ENT}, e AS (SELECT id, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS s FROM ent WHERE name IS NOT NULL),
 b AS (SELECT *, {_BIG.format("s")} AS g FROM e)
-SELECT x.id AS a, y.id AS b, round(CASE WHEN x.s = y.s THEN 1 WHEN len(list_distinct(list_concat(x.g, y.g))) = 0 THEN 0 ELSE len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g))) END::DOUBLE, 6) AS similarity
-FROM b x JOIN b y ON x.file_path = y.file_path AND x.id < y.id""",
+SELECT DISTINCT x.id AS a, y.id AS b, round(CASE WHEN x.s = y.s THEN 1 WHEN len(list_distinct(list_concat(x.g, y.g))) = 0 THEN 0 ELSE len(list_intersect(x.g, y.g)) / len(list_distinct(list_concat(x.g, y.g))) END::DOUBLE, 6) AS similarity
+FROM relationships r JOIN b x ON x.id = r.source_id JOIN b y ON y.id = r.target_id""",
     "json_prop_filter": "SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events WHERE json_extract_string(props, '$.k')::INT > 90",
     "impact_risk_score": """WITH s AS (SELECT l_suppkey AS report_id, count(*) FILTER (l_returnflag = 'R' AND l_quantity > 49) AS n_deleted, count(*) FILTER (l_linestatus = 'O') AS n_modified,
 count(*) FILTER (l_discount > 0.0999) AS n_widely_used, count(*) FILTER (l_tax > 0.0799) AS n_invalidated FROM lineitem GROUP BY 1)

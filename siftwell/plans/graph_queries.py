@@ -205,6 +205,11 @@ WHERE x.b <> start AND x.b <> goal""",
     "union_distinct_nodes": f"WITH {_EDGE} SELECT source_id AS node FROM edge UNION SELECT target_id FROM edge",
     "semantic_links": f"""WITH {_EDGE}, {_SIM} SELECT least(a, b) AS source_id, greatest(a, b) AS target_id, round(max(score), 6) AS weight FROM near WHERE score >= 0.4
   AND NOT EXISTS (SELECT 1 FROM edge WHERE (source_id = a AND target_id = b) OR (source_id = b AND target_id = a)) GROUP BY 1, 2""",
+    "duplicate_groups": """WITH RECURSIVE e AS (SELECT vec_id::VARCHAR AS id, embedding::DOUBLE[] AS v FROM embeddings), ids AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM e),
+nb AS (SELECT a.id AS lo, b.id AS hi FROM e a JOIN e b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.4), own AS (SELECT k, id, coalesce(list(hi) FILTER (hi IS NOT NULL), []) AS l FROM ids LEFT JOIN nb ON lo = id GROUP BY 1, 2),
+r(k, taken) AS (SELECT 0, []::VARCHAR[] UNION ALL SELECT own.k, CASE WHEN list_contains(taken, id) THEN taken ELSE list_concat(taken, l) END FROM r JOIN own ON own.k = r.k + 1),
+t AS (SELECT unnest(list_distinct(taken)) AS id FROM r WHERE k = (SELECT max(k) FROM ids)), led AS (SELECT hi AS id, min(lo) AS primary_id FROM nb WHERE hi IN (FROM t) AND lo NOT IN (FROM t) GROUP BY 1)
+FROM led UNION SELECT primary_id, primary_id FROM led""",
     "reference_resolution": f"""WITH {_ENT}, refs AS (SELECT DISTINCT concat_ws('|', id, t) AS ref_id, t FROM (SELECT id, unnest(regexp_extract_all(coalesce(summary, ''), '([A-Z][a-z]+(?:[A-Z][a-z]+)+)', 1)) AS t FROM ent)),
 hits AS (SELECT ref_id, id, 1 AS tier FROM refs JOIN ent ON qualified_name = t UNION ALL SELECT ref_id, id, 2 FROM refs JOIN ent ON file_path = t AND type = 'file'
   UNION ALL SELECT ref_id, id, CASE WHEN type IN ('class', 'interface', 'type') THEN 3 WHEN type IN ('function', 'method') THEN 4 ELSE 5 END FROM refs JOIN ent ON name = t)
