@@ -123,10 +123,37 @@ QUERIES = {
     )
 }
 _SEC = "sec AS (SELECT DISTINCT ON (id) * FROM markdown_sections)"
+def _chunk_sql(source: str) -> str:
+    """CTEs that end in ``chunk`` (k, i, a, e, n), the last short one merged, from a CTE ``src`` (k, text, m most, o overlap, l least)."""
+    cut = lambda p, n: f"WHEN regexp_matches(s, '{p}') THEN w + length(regexp_extract(s, '(?s)^(.*){p}', 1)) + {n}"
+    end = f"CASE WHEN a + m >= n THEN n {cut(chr(92) + 'n' + chr(92) + 'n', 2)} {cut(chr(92) + 'n', 1)} {cut('[.!?]' + chr(92) + 's', 2)} {cut(' ', 1)} ELSE a + m END"
+    seen = "substring(text, greatest(a, a + m - o) + 1, a + m - greatest(a, a + m - o)) AS s, greatest(a, a + m - o) AS w"
+    return f"""src AS ({source}), long AS (SELECT *, length(text) AS n FROM src WHERE length(text) > m),
+walk(k, i, a, e, n) AS (SELECT k, 0, a, {end}, n FROM (SELECT *, 0 AS a, substring(text, m - o + 1, o) AS s, m - o AS w FROM long)
+  UNION ALL SELECT k, i, a, {end}, n FROM (SELECT q.*, {seen} FROM (SELECT long.k, long.text, long.m, long.o, long.n, walk.i + 1 AS i, CASE WHEN e - o > a THEN e - o ELSE e END AS a FROM walk JOIN long ON long.k = walk.k WHERE e < long.n) q)),
+chunk AS (SELECT k, i, a, CASE WHEN short THEN n ELSE e END AS e, n FROM (SELECT walk.*, lead(walk.e) OVER v = n AND n - lead(walk.a) OVER v < l AS short, i > 0 AND walk.e = n AND walk.e - walk.a < l AS gone
+  FROM walk JOIN (SELECT k AS kk, l FROM src) z ON kk = walk.k WINDOW v AS (PARTITION BY walk.k ORDER BY i)) WHERE NOT gone
+  UNION ALL SELECT k, 0, 0, length(text), length(text) FROM src WHERE length(text) <= m)"""
+
+
+_HEAD = """p AS (SELECT *, string_split_regex(regexp_replace(regexp_replace(name, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '\\s+') AS c FROM ent),
+h AS (SELECT id, coalesce(content, '') AS text, length(concat_ws(chr(10), type || ': ' || array_to_string(list_distinct(list_concat([name, lower(name)], CASE WHEN len(c) > 1 THEN c ELSE [] END,
+  CASE WHEN contains(name, '_') THEN list_filter(string_split(name, '_'), lambda x: x <> '') ELSE [] END, CASE WHEN contains(name, '-') THEN list_filter(string_split(name, '-'), lambda x: x <> '') ELSE [] END)), ' '),
+  CASE WHEN file_path <> '' THEN 'in ' || array_to_string(string_split(file_path, '/')[-2:], '/') END, CASE WHEN summary <> '' THEN summary END)) AS h FROM p)"""
 _REF = {k: p.replace("(?<![A-Za-z0-9_])", "\\b").replace("(?![A-Za-z0-9_])", "\\b").replace("(?=[\\s),.]|$)", "(?:[\\s),.]|$)") for k, p in documents.REFERENCE_PATTERNS.items()}
 #: Separators are doubled, as the pattern of paths takes one on either side.
 _WIDE = "regexp_replace(content, '([\\s(),])', '\\1\\1', 'g')"
 SQL = {
+    "overlap_chunks": f"WITH RECURSIVE {_chunk_sql('SELECT doc_id AS k, coalesce(text, chr(32)[2:]) AS text, 4000 AS m, 200 AS o, 100 AS l FROM documents')} SELECT k AS doc_id, i::INT AS chunk_index, a::INT AS start, e::INT AS end FROM chunk",
+    "code_chunks": f"""WITH RECURSIVE {_ENT}, {_HEAD}, {_chunk_sql("SELECT id AS k, text, greatest(151, 1024 - h - 2) AS m, 150 AS o, 100 AS l FROM h")}
+SELECT id, i::INT AS chunk_index, count(*) OVER (PARTITION BY id) AS total, (h + CASE WHEN e > a THEN 2 + e - a ELSE 0 END)::INT AS n_chars FROM chunk JOIN h ON k = id""",
+    "section_chunks": f"""WITH RECURSIVE {_SEC}, par AS (SELECT id, generate_subscripts(string_split_regex(content, '\\n\\n+'), 1) AS k, unnest(string_split_regex(content, '\\n\\n+')) AS p FROM sec WHERE length(content) > 3000),
+w(id, k, held, pieces) AS (SELECT DISTINCT id, 0, '', []::VARCHAR[] FROM par UNION ALL SELECT w.id, par.k, CASE WHEN held = '' THEN p WHEN length(held) + length(p) > 1500 THEN right(held, 200) || chr(10) || chr(10) || p ELSE held || chr(10) || chr(10) || p END,
+  CASE WHEN held <> '' AND length(held) + length(p) > 1500 THEN list_append(pieces, regexp_replace(held, '^\\s+|\\s+$', '', 'g')) ELSE pieces END FROM w JOIN par ON par.id = w.id AND par.k = w.k + 1),
+d AS (SELECT id, CASE WHEN regexp_matches(held, '\\S') THEN list_append(pieces, regexp_replace(held, '^\\s+|\\s+$', '', 'g')) ELSE pieces END AS ps FROM w QUALIFY k = max(k) OVER (PARTITION BY id)),
+l AS (SELECT id, generate_subscripts(ps, 1) AS k, length(unnest(ps)) AS n FROM d),
+m(id, k, part, n) AS (SELECT id, k, 0, n FROM l WHERE k = 1 UNION ALL SELECT m.id, l.k, CASE WHEN m.n < 200 THEN part ELSE part + 1 END, CASE WHEN m.n < 200 THEN m.n + 2 + l.n ELSE l.n END FROM m JOIN l ON l.id = m.id AND l.k = m.k + 1)
+SELECT id, part::INT AS chunk_index, max(n)::INT AS n_chars FROM m GROUP BY 1, 2 UNION ALL SELECT id, 0, coalesce(length(content), 0)::INT FROM sec WHERE coalesce(length(content), 0) <= 3000""",
     "code_references": f"WITH {_SEC}, b AS (SELECT id, content, regexp_replace(content, '`([^`]+)`', '', 'g') AS bare FROM sec WHERE content IS NOT NULL), r AS ("
     + " UNION ALL ".join(f"SELECT id, {i} AS o, '{k}' AS kind, unnest(regexp_extract_all({_WIDE if k == 'filepath' else 'content' if k == 'backtick' else 'bare'}, '{p}', 1)) AS ref FROM b" for i, (k, p) in enumerate(_REF.items()))
     + ") SELECT id, ref, arg_min(kind, o) AS kind FROM r GROUP BY 1, 2",

@@ -205,7 +205,7 @@ def context_assemble(spark, d):
     hits = search.tiered(e, batch(spark), 20).select("query_id", F.col("doc").alias("entity_id"), "score", F.lit("keyword").alias("source"))
     ranked = materialize(fusion.rerank(fusion.rrf(materialize(hits)), batch(spark), e, limit=10))
     grown = X.expand(ranked, read(spark, d, "relationships"), e)
-    return X.assemble(grown.select("query_id", "entity_id", "score"), e)
+    return X.assemble(grown.select("query_id", "entity_id", "score"), e).withColumn("sources", F.array_join("sources", ","))
 
 
 def context_query(spark, d):
@@ -222,7 +222,7 @@ def context_expansion(spark, d):
 
 def query_parse(spark, d):
     p = Q.parse(batch(spark))
-    return p.select("query_id", "normalized", "keywords", "intent", "confidence", F.col("gate.retrieve").alias("retrieve"), r6("weights.keyword").alias("w_keyword"))
+    return p.select("query_id", "normalized", F.array_join("keywords", " ").alias("keywords"), "intent", "confidence", F.col("gate.retrieve").alias("retrieve"), r6("weights.keyword").alias("w_keyword"))
 
 
 QUERIES = {
@@ -251,7 +251,35 @@ every AS (FROM hits UNION ALL SELECT query_id, id, 4, 0.3, 0 FROM batch, ent
   WHERE query_id NOT IN (SELECT query_id FROM hits) AND (contains(lower(name), lower(trim(text))) OR contains(lower(content), lower(trim(text))) OR contains(lower(summary), lower(trim(text))))),
 one AS (SELECT query_id, id, min(tier) AS tier, arg_min(score, tier) AS score, arg_min(b, tier) AS b FROM every GROUP BY 1, 2)
 SELECT query_id, id AS entity_id, tier::INT AS tier, round(score, 6) AS score FROM one QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY tier, b DESC, id) <= 20"""
+_WORDS = ", ".join(f"'{w}'" for w in Q.STOP_WORDS)
+_INTENT = " ".join(f"WHEN regexp_matches(lower(trim(text)), '{p}') THEN {{'i': '{i}', 'c': {w}::DOUBLE}}" for p, i, w in sorted(Q.INTENTS, key=lambda x: -x[2]))
+#: The queries of the batch name entities in Pascal case only.
+_PARSE = f"""
+WITH {_BATCH}, n AS (SELECT query_id, text, trim(regexp_replace(regexp_replace(trim(text), '\\s+', ' ', 'g'), '[?!.]+$', '')) AS s, len(regexp_extract_all(text, '\\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\\b')) AS m,
+  CASE {_INTENT} ELSE {{'i': 'general', 'c': 0.3::DOUBLE}} END AS x FROM batch),
+k AS (SELECT *, list_filter(string_split_regex(lower(s), '[\\s\\-_.,;:!?''"()\\[\\]{{}}]+'), lambda t: length(t) >= 2 AND t NOT IN ({_WORDS}) AND NOT regexp_matches(t, '^[0-9]+$')) AS k FROM n)
+SELECT query_id, s AS normalized, array_to_string(k, ' ') AS keywords, x.i AS intent, x.c AS confidence, true AS retrieve,
+  round(0.6 * CASE WHEN m > 0 THEN 1.5 ELSE 1 END * CASE WHEN m > 0 AND len(k) <= 2 THEN 2.0 ELSE 1 END * CASE WHEN regexp_matches(s, '(?i)^(how|what|why|where|when|which)') THEN 0.7 ELSE 1 END::DOUBLE, 6) AS w_keyword FROM k"""
+
+
+def _expand_sql(own: str) -> str:
+    """CTEs that end in ``grown`` (query_id, entity_id, score, source, reason), from CTEs that end in ``own`` (query_id, entity_id, score) and ``ent``."""
+    return f"""{own}, size AS (SELECT id, type, ceil(length(coalesce(content, '') || coalesce(summary, '')) / 4.0)::BIGINT AS t FROM ent),
+rel AS (SELECT id, source_id, target_id, upper(relationship) AS r, coalesce(weight, 1.0) AS w FROM relationships WHERE source_id IS NOT NULL AND target_id IS NOT NULL),
+near AS (SELECT query_id, entity_id, score, source_id AS other, rel.id, w, 0 AS kind FROM own JOIN rel ON target_id = entity_id AND r = 'CONTAINS'
+  UNION ALL SELECT query_id, entity_id, score, target_id, rel.id, w, CASE WHEN r = 'IMPORTS' THEN 1 ELSE 2 END FROM own JOIN rel ON source_id = entity_id AND r IN ('IMPORTS', 'USES', 'IMPLEMENTS', 'EXTENDS') JOIN size z ON z.id = entity_id WHERE r <> 'IMPORTS' OR type = 'file'),
+cand AS (SELECT query_id, other, t, min({{'s': -score, 'e': entity_id, 'k': kind, 'w': -w, 'i': near.id}}) AS p FROM near JOIN size z ON z.id = other
+  WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.query_id = near.query_id AND o.entity_id = other) AND (kind < 2 OR type IN ('type', 'interface', 'class')) GROUP BY 1, 2, 3),
+line AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p, other) AS rn FROM cand),
+walk(query_id, rn, other, p, used, took) AS (SELECT query_id, rn, other, p, CASE WHEN t <= 2000 THEN t ELSE 0 END, t <= 2000 FROM line WHERE rn = 1
+  UNION ALL SELECT l.query_id, l.rn, l.other, l.p, CASE WHEN used + l.t <= 2000 THEN used + l.t ELSE used END, used + l.t <= 2000 FROM walk w JOIN line l ON l.query_id = w.query_id AND l.rn = w.rn + 1),
+grown AS (SELECT query_id, entity_id, score, NULL::VARCHAR AS source, NULL::VARCHAR AS reason FROM own
+  UNION ALL SELECT query_id, other, -p.s * CASE WHEN p.k = 0 THEN 0.5 ELSE 0.3 END::DOUBLE, 'structural', CASE p.k WHEN 0 THEN 'parent' WHEN 1 THEN 'import' ELSE 'type' END FROM walk WHERE took)"""
+
+
+_NAMED = "own AS (SELECT DISTINCT q AS query_id, id AS entity_id, 1.0::DOUBLE AS score FROM ent JOIN (VALUES (0, 'DurablePlanner'), (1, 'readImporter'), (2, 'importHandle'), (3, 'FinalOutbox')) v(q, n) ON lower(name) = lower(n))"
 SQL = {
+    "query_parse": _PARSE,
     "keyword_bm25_topk": _BM25,
     "tiered_search_scored": _TIERS,
     "exact_name_search": f"WITH {_BATCH}, {_ENT} SELECT query_id, id AS entity_id FROM ent JOIN batch ON lower(name) = lower(trim(text))",
@@ -269,3 +297,23 @@ SELECT query_id, round(least(1.0, sum(pow(0.7, rn - 1) * greatest(score, 0)) / s
 FROM documents WHERE text IS NOT NULL AND source IS NOT NULL QUALIFY used <= 4000""",
     "budget_greedy_skip": _GREEDY,
 }
+SQL["context_expansion"] = f"WITH RECURSIVE {_ENT}, {_expand_sql(_NAMED)} SELECT query_id, entity_id, score, source, reason FROM grown"
+_CATS = "CASE " + " ".join(f"WHEN type IN ({', '.join(repr(t) for t in ts)}) THEN '{c}'" for c, ts in X.CATEGORIES.items()) + " ELSE 'other' END"
+_LANG = f"coalesce(MAP {{{', '.join(f'{k!r}: {v!r}' for k, v in T.LANGUAGES.items())}}}[lower(regexp_extract(coalesce(file_path, ''), '[.]([A-Za-z0-9]+)$', 1))], '')"
+_TOP = f"""tiers AS ({_TIERS.strip()}), fused AS (SELECT query_id, entity_id, 0.6 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id)) AS score FROM tiers),
+terms AS (SELECT *, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: length(x) > 2 AND x NOT IN ({_STOP})) AS t FROM batch),
+m AS (SELECT query_id, entity_id, score * {_FACTOR} AS s FROM fused JOIN terms USING (query_id) JOIN ent ON id = entity_id),
+best AS (SELECT query_id, entity_id, s / greatest(max(s) OVER (PARTITION BY query_id), 0.001) AS score FROM m),
+own AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) <= 10)"""
+SQL["context_assemble"] = f"""WITH RECURSIVE {_BATCH}, {_ENT}, {_expand_sql(_TOP)},
+shown AS (SELECT DISTINCT query_id, file_path FROM grown JOIN ent ON id = entity_id WHERE type <> 'file' AND file_path IS NOT NULL),
+x AS (SELECT query_id, entity_id, score, name, {_CATS} AS cat, concat_ws(chr(10) || chr(10), '### ' || name || ' (' || type || ')', CASE WHEN file_path <> '' THEN file_path || coalesce(':' || start_line, '') END,
+  CASE WHEN summary <> '' THEN summary END, CASE WHEN content <> '' THEN CASE WHEN {_CATS} = 'code' THEN '```' || {_LANG} || chr(10) || content || chr(10) || '```' ELSE content END END) AS body
+  FROM grown g JOIN ent ON id = entity_id WHERE score >= 0.1 AND NOT (type = 'file' AND EXISTS (SELECT 1 FROM shown s WHERE s.query_id = g.query_id AND s.file_path = ent.file_path))),
+h AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY query_id, cat ORDER BY score DESC, entity_id) = 1 THEN '## ' || upper(cat[1]) || cat[2:] END AS head, list_position(['code', 'documentation', 'conversation', 'other'], cat) AS cr FROM x),
+c AS (SELECT *, ceil(length(body) / 4.0) + coalesce(ceil(length(head) / 4.0), 0) AS cost FROM h),
+u AS (SELECT *, sum(cost) OVER w AS used, row_number() OVER w AS rn FROM c WINDOW w AS (PARTITION BY query_id ORDER BY cr, score DESC, entity_id)),
+g AS (SELECT query_id, coalesce(list({{'t': concat_ws(chr(10) || chr(10), head, body), 'e': entity_id, 'n': name, 'c': cost}} ORDER BY rn) FILTER (used <= 3800), []) AS items, bool_or(used > 3800) AS truncated FROM u GROUP BY 1),
+f AS (SELECT *, 'Sources:' || chr(10) || array_to_string(list_concat(list_transform(items[:10], lambda i: '- ' || i.n), CASE WHEN len(items) > 10 THEN ['... and ' || (len(items) - 10) || ' more'] ELSE [] END), chr(10)) AS footer FROM g)
+SELECT query_id, CASE WHEN len(items) > 0 THEN array_to_string(list_transform(items, lambda i: i.t), chr(10) || chr(10)) || chr(10) || chr(10) || footer ELSE '' END AS context,
+  (coalesce(list_sum(list_transform(items, lambda i: i.c)), 0) + CASE WHEN len(items) > 0 THEN ceil(length(footer) / 4.0) ELSE 0 END)::BIGINT AS tokens, array_to_string(list_transform(items, lambda i: i.e), ',') AS sources, truncated FROM f"""

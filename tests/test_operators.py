@@ -308,7 +308,7 @@ def test_messages(spark, rows):
 def test_whole_transcripts(spark, rows, tmp_path):
     data = [(f"{i:04}", "s", i, "user", "word " * 20, None, T[0]) for i in range(200)] + [("a", "s", None, "user", "no place", None, T[1]), ("b", "s", 3, "user", "no time", None, None)]
     spark.createDataFrame(data, schemas.MESSAGES).write.parquet(f"{tmp_path}/messages.parquet")
-    got = M.transcript(analytics_queries.msgs(spark, str(tmp_path))).first().transcript.split("\n\n")
+    got = messages.transcript(analytics_queries.msgs(spark, str(tmp_path))).first().transcript.split("\n\n")
     assert len(got) == 202 and got[0] == "user: no time" and got[-1] == "user: no place"
 
 
