@@ -211,7 +211,7 @@ def context_assemble(spark, d):
 def context_query(spark, d):
     """The flagship: gate, parse, keyword and graph strategies, fusion, reranking, expansion, assembly, confidence."""
     got = retrieval.context_query(batch(spark), materialize(ents(spark, d)), read(spark, d, "relationships"))
-    return got.select("query_id", "retrieve", "reason", "context", "tokens", "sources", "truncated", r6("confidence").alias("confidence"))
+    return got.select("query_id", "retrieve", "reason", "context", "tokens", F.array_join("sources", ",").alias("sources"), "truncated", r6("confidence").alias("confidence"))
 
 
 def context_expansion(spark, d):
@@ -305,8 +305,8 @@ terms AS (SELECT *, list_filter(string_split_regex(lower(text), '\\s+'), lambda
 m AS (SELECT query_id, entity_id, score * {_FACTOR} AS s FROM fused JOIN terms USING (query_id) JOIN ent ON id = entity_id),
 best AS (SELECT query_id, entity_id, s / greatest(max(s) OVER (PARTITION BY query_id), 0.001) AS score FROM m),
 own AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) <= 10)"""
-SQL["context_assemble"] = f"""WITH RECURSIVE {_BATCH}, {_ENT}, {_expand_sql(_TOP)},
-shown AS (SELECT DISTINCT query_id, file_path FROM grown JOIN ent ON id = entity_id WHERE type <> 'file' AND file_path IS NOT NULL),
+#: CTEs from ``grown`` and ``ent`` to ``assembled``: query_id, context, tokens, sources, truncated.
+_ASSEMBLED = f"""shown AS (SELECT DISTINCT query_id, file_path FROM grown JOIN ent ON id = entity_id WHERE type <> 'file' AND file_path IS NOT NULL),
 x AS (SELECT query_id, entity_id, score, name, {_CATS} AS cat, concat_ws(chr(10) || chr(10), '### ' || name || ' (' || type || ')', CASE WHEN file_path <> '' THEN file_path || coalesce(':' || start_line, '') END,
   CASE WHEN summary <> '' THEN summary END, CASE WHEN content <> '' THEN CASE WHEN {_CATS} = 'code' THEN '```' || {_LANG} || chr(10) || content || chr(10) || '```' ELSE content END END) AS body
   FROM grown g JOIN ent ON id = entity_id WHERE score >= 0.1 AND NOT (type = 'file' AND EXISTS (SELECT 1 FROM shown s WHERE s.query_id = g.query_id AND s.file_path = ent.file_path))),
@@ -314,6 +314,28 @@ h AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY query_id, cat ORDER BY
 c AS (SELECT *, ceil(length(body) / 4.0) + coalesce(ceil(length(head) / 4.0), 0) AS cost FROM h),
 u AS (SELECT *, sum(cost) OVER w AS used, row_number() OVER w AS rn FROM c WINDOW w AS (PARTITION BY query_id ORDER BY cr, score DESC, entity_id)),
 g AS (SELECT query_id, coalesce(list({{'t': concat_ws(chr(10) || chr(10), head, body), 'e': entity_id, 'n': name, 'c': cost}} ORDER BY rn) FILTER (used <= 3800), []) AS items, bool_or(used > 3800) AS truncated FROM u GROUP BY 1),
-f AS (SELECT *, 'Sources:' || chr(10) || array_to_string(list_concat(list_transform(items[:10], lambda i: '- ' || i.n), CASE WHEN len(items) > 10 THEN ['... and ' || (len(items) - 10) || ' more'] ELSE [] END), chr(10)) AS footer FROM g)
-SELECT query_id, CASE WHEN len(items) > 0 THEN array_to_string(list_transform(items, lambda i: i.t), chr(10) || chr(10)) || chr(10) || chr(10) || footer ELSE '' END AS context,
-  (coalesce(list_sum(list_transform(items, lambda i: i.c)), 0) + CASE WHEN len(items) > 0 THEN ceil(length(footer) / 4.0) ELSE 0 END)::BIGINT AS tokens, array_to_string(list_transform(items, lambda i: i.e), ',') AS sources, truncated FROM f"""
+f AS (SELECT *, 'Sources:' || chr(10) || array_to_string(list_concat(list_transform(items[:10], lambda i: '- ' || i.n), CASE WHEN len(items) > 10 THEN ['... and ' || (len(items) - 10) || ' more'] ELSE [] END), chr(10)) AS footer FROM g),
+assembled AS (SELECT query_id, CASE WHEN len(items) > 0 THEN array_to_string(list_transform(items, lambda i: i.t), chr(10) || chr(10)) || chr(10) || chr(10) || footer ELSE '' END AS context,
+  (coalesce(list_sum(list_transform(items, lambda i: i.c)), 0) + CASE WHEN len(items) > 0 THEN ceil(length(footer) / 4.0) ELSE 0 END)::BIGINT AS tokens, array_to_string(list_transform(items, lambda i: i.e), ',') AS sources, truncated FROM f)"""
+SQL["context_assemble"] = f"WITH RECURSIVE {_BATCH}, {_ENT}, {_expand_sql(_TOP)}, {_ASSEMBLED} SELECT query_id, context, tokens, sources, truncated FROM assembled"
+_SYNONYMS = ", ".join(f"('{a}', '{b}', {i})" for i, (a, b) in enumerate(Q.synonym_pairs()))
+_WAY = f"""parsed AS ({_PARSE.strip()}), syn(w, s, o) AS (VALUES {_SYNONYMS}), kws AS (SELECT query_id, unnest(string_split(keywords, ' ')) AS w FROM parsed),
+named AS (SELECT query_id, unnest(regexp_extract_all(text, '\\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\\b')) AS t FROM batch),
+asked AS (SELECT query_id || '|0' AS query_id, query_id AS q, normalized AS text, 'main' AS kind FROM parsed UNION ALL SELECT query_id || '|1' || t, query_id, t, 'mention' FROM named
+  UNION ALL SELECT DISTINCT query_id || '|2' || s, query_id, s, 'synonym' FROM kws JOIN syn USING (w) WHERE NOT EXISTS (SELECT 1 FROM kws k WHERE k.query_id = kws.query_id AND k.w = syn.s)),
+found AS ({_TIERS.strip().replace(f"WITH {_BATCH}", "WITH batch AS (SELECT query_id, text FROM asked)").replace("SELECT query_id, id AS entity_id, tier::INT AS tier, round(score, 6) AS score FROM one QUALIFY", "SELECT query_id, id AS entity_id, row_number() OVER (PARTITION BY query_id ORDER BY tier, b DESC, id) AS rank FROM one QUALIFY")}),
+kw AS (SELECT q AS query_id, entity_id, CASE kind WHEN 'mention' THEN 1.5 WHEN 'main' THEN 1 / rank ELSE 0.5 / rank END::DOUBLE AS score FROM found JOIN asked USING (query_id) WHERE rank <= CASE kind WHEN 'main' THEN 20 ELSE 5 END),
+hit AS (SELECT query_id, id, 1 AS tier FROM named JOIN ent ON qualified_name = t UNION ALL SELECT query_id, id, 2 FROM named JOIN ent ON file_path = t AND type = 'file'
+  UNION ALL SELECT query_id, id, CASE WHEN type IN ('class', 'interface', 'type') THEN 3 WHEN type IN ('function', 'method') THEN 4 ELSE 5 END FROM named JOIN ent ON name = t),
+seed AS (SELECT query_id, arg_min(id, (tier, id)) AS a FROM hit GROUP BY 1), two AS (SELECT DISTINCT ON (id) id, source_id AS a, target_id AS b, coalesce(weight, 1.0) AS w FROM relationships WHERE source_id IS NOT NULL AND target_id IS NOT NULL),
+one_hop AS (SELECT query_id, s.a AS start, s.a AS node FROM seed s UNION SELECT query_id, s.a, CASE WHEN two.a = s.a THEN two.b ELSE two.a END FROM seed s JOIN two ON two.a = s.a OR two.b = s.a),
+edge_met AS (SELECT DISTINCT query_id, start, two.* FROM one_hop JOIN two ON two.a = node OR two.b = node),
+gr AS (SELECT query_id, e AS entity_id, max(1 / (1 / CASE WHEN w > 0 THEN w ELSE 0.5 END + 1)) AS score FROM (SELECT query_id, start, a AS e, w FROM edge_met UNION ALL SELECT query_id, start, b, w FROM edge_met) WHERE e <> start GROUP BY 1, 2),
+src AS (SELECT *, 'keyword' AS source FROM kw UNION ALL SELECT *, 'graph' FROM gr),
+rk AS (SELECT src.*, row_number() OVER (PARTITION BY src.query_id, source ORDER BY score DESC, entity_id) AS r, CASE source WHEN 'keyword' THEN w_keyword ELSE 0.8 * CASE WHEN EXISTS (SELECT 1 FROM named n WHERE n.query_id = src.query_id) THEN 1.3 ELSE 1 END END::DOUBLE AS w FROM src JOIN parsed USING (query_id)),
+rrf AS (SELECT query_id, entity_id, sum(w / (60 + r)) AS score FROM rk GROUP BY 1, 2), fused AS (SELECT * FROM rrf QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) <= 10),
+{_TOP[_TOP.index("terms AS (SELECT *, list_filter"):]}"""
+SQL["context_query"] = f"""WITH RECURSIVE {_BATCH}, {_ENT}, {_expand_sql(_WAY)}, {_ASSEMBLED},
+sure AS (SELECT query_id, least(1.0, sum(pow(0.7, rn - 1) * greatest(score, 0)) / sum(pow(0.7, rn - 1))) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) AS rn FROM own) WHERE rn <= 5 GROUP BY 1)
+SELECT query_id, true AS retrieve, CASE WHEN query_id IN (SELECT query_id FROM named) THEN 'mention' WHEN intent IN ('find', 'list', 'debug') THEN 'intent' ELSE 'default' END AS reason, coalesce(context, '') AS context, coalesce(tokens, 0) AS tokens,
+  coalesce(sources, '') AS sources, coalesce(truncated, false) AS truncated, round(coalesce(a.confidence, 0)::DOUBLE, 6) AS confidence FROM parsed p LEFT JOIN assembled USING (query_id) LEFT JOIN sure a USING (query_id)"""
