@@ -79,10 +79,12 @@ def search_all(
     types: list[str] | None = None,
     min_score: float = 0.0,
     rerank: bool = True,
+    parsed: DataFrame | None = None,
 ) -> DataFrame:
     """query_id, entity_id, score, source, rank of queries (query_id, text): the strategies fused by reciprocal rank, weighted for
-    each query. ``min_score`` is on the scale of the fusion; reranking scales the best to 1."""
-    parsed = materialize(Q.parse(queries))
+    each query. ``min_score`` is on the scale of the fusion; reranking scales the best to 1. ``parsed``: the parsed queries,
+    as a stored table, if they have been parsed before."""
+    parsed = materialize(Q.parse(queries)) if parsed is None else parsed
     parts = [keyword_strategy(parsed, entities, limit, types).withColumn("source", F.lit("keyword"))]
     if store is not None and make is not None:
         parts.append(semantic_strategy(parsed, store, make, limit).withColumn("source", F.lit("semantic")))
@@ -118,15 +120,17 @@ def context_query(
     A query that the gate turns away has an empty context. With ``decompose`` the independent parts of a
     query are searched for one by one, and an entity's best weighted score counts.
     """
-    verdict = materialize(Q.parse(queries).select("query_id", "text", "gate.retrieve", "gate.reason"))
-    asked = verdict.where(F.col("retrieve") | F.lit(not gate)).select("query_id", "text")
+    parsed = materialize(Q.parse(queries))
+    verdict = parsed.select("query_id", "text", "gate.retrieve", "gate.reason")
+    parsed = parsed.where(F.col("gate.retrieve") | F.lit(not gate))
+    asked = parsed.select("query_id", "text")
     if decompose:
         key = F.concat_ws("\u0001", F.col("_q").cast("string"), F.col("part").cast("string"))
         parts = materialize(Q.decompose(asked).withColumnRenamed("query_id", "_q").withColumn("query_id", key))
         found = search_all(parts.select("query_id", "text"), entities, edges, store, make, limit).join(parts.select("query_id", "_q", "weight"), "query_id")
         hits = fusion.merge_best(found.select(F.col("_q").alias("query_id"), "entity_id", "score", "weight"))
     else:
-        hits = search_all(asked, entities, edges, store, make, limit).select("query_id", "entity_id", "score")
+        hits = search_all(asked, entities, edges, store, make, limit, parsed=parsed).select("query_id", "entity_id", "score")
     hits = materialize(hits)
     grown = context.expand(hits, edges, entities).select("query_id", "entity_id", "score") if expand else hits
     text = context.assemble(grown, entities, max_tokens, min_score, style)

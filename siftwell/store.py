@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell import schemas
-from siftwell.runtime import materialize
 
 TABLES = {
     "entities": schemas.ENTITIES, "relationships": schemas.RELATIONSHIPS, "vectors": schemas.VECTORS, "sessions": schemas.SESSIONS, "messages": schemas.MESSAGES,
@@ -40,25 +39,48 @@ class Store:
 
     def read(self, table: str, project: str) -> DataFrame:
         """The project's rows; empty if it has none."""
+        self._recover(table, project)
         if not self.exists(table, project):
             return self.spark.createDataFrame([], TABLES[table])
         return self.spark.read.schema(TABLES[table]).parquet(self._path(table, project))
 
-    def append(self, table: str, project: str, rows: DataFrame) -> None:
+    def _write(self, table: str, project: str, rows: DataFrame, path: str) -> None:
         if not NAME.fullmatch(project):
             raise ValueError(f"not a project name: {project!r}")
         missing = schemas.invalid(rows, TABLES[table])
         if missing:
             raise ValueError(f"{table}: wrong or missing columns {missing}")
         columns = [c.split()[0] for c in re.split(r", (?![^<]*>)", TABLES[table])]
-        rows.select(columns).write.mode("append").parquet(self._path(table, project))
+        rows.select(columns).write.mode("append").parquet(path)
+
+    def append(self, table: str, project: str, rows: DataFrame) -> None:
+        self._recover(table, project)
+        self._write(table, project, rows, self._path(table, project))
 
     def replace(self, table: str, project: str, rows: DataFrame) -> None:
-        """Write the whole state anew; ``rows`` may be a plan on the present state."""
-        stored = materialize(rows)
+        """Write the whole state anew; ``rows`` may be a plan on the present state.
+
+        The new state is written beside the old one, which then makes way for it by two renames; a failure between
+        them is mended at the next access (``_recover``), so that either state is there, whole.
+        """
+        self._recover(table, project)
+        fs, p = self._fs(self._path(table, project))
+        new, old = (self._fs(f"{self.root}/{table}/_{x}-{project}")[1] for x in ("new", "old"))
+        fs.delete(new, True)
+        self._write(table, project, rows, new.toString())
+        if fs.exists(p):
+            fs.rename(p, old)
+        fs.rename(new, p)
+        fs.delete(old, True)
+
+    def _recover(self, table: str, project: str) -> None:
         fs, p = self._fs(self._path(table, project))
-        fs.delete(p, True)
-        self.append(table, project, stored)
+        old = self._fs(f"{self.root}/{table}/_old-{project}")[1]
+        if fs.exists(old):
+            if fs.exists(p):
+                fs.delete(old, True)
+            else:
+                fs.rename(old, p)
 
     def projects(self) -> list[str]:
         fs, p = self._fs(self.root)

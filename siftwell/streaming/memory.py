@@ -14,7 +14,7 @@ from siftwell.operators.analytics import HOT_TOKENS
 #: Items that a spill moves (fixed value).
 SPILL = 4
 _MOVES = "session_id string, id string, from_tier string, to_tier string"
-_STATE = "seen array<string>, ids array<string>, tokens array<int>, relevance array<double>, at array<double>, accesses array<int>"
+_STATE = "ids array<string>, tokens array<int>, relevance array<double>, at array<double>, accesses array<int>"
 
 
 class Hot:
@@ -40,11 +40,12 @@ def _ordered(b: pd.DataFrame) -> pd.DataFrame:
     return b.sort_values(["at", "id"])
 
 
-def auto_spill(items: DataFrame, limit: int = HOT_TOKENS) -> DataFrame:
+def auto_spill(items: DataFrame, limit: int = HOT_TOKENS, late: str = "1 hour", idle: int = 24) -> DataFrame:
     """Moves of items (session_id, id, token_count, relevance_score, created_at, access_count) that are added in the order of time.
 
-    On a table every session is replayed by itself (sessions are bounded by what one user says). On a
-    stream the hot items are the state; an id seen before changes nothing, so that a repeated trigger is harmless.
+    On a table every session is replayed by itself (sessions are bounded by what one user says); an id counts once. On a
+    stream the hot items are the state, so that it is bounded by the limit; ids that come again within ``late`` are dropped
+    before, and a session without items for ``idle`` hours is forgotten.
     """
     x = items.where("session_id is not null and id is not null").select(
         F.col("session_id").cast("string").alias("session_id"), F.col("id").cast("string").alias("id"), F.coalesce("token_count", F.lit(0)).cast("int").alias("tokens"),
@@ -64,18 +65,21 @@ def auto_spill(items: DataFrame, limit: int = HOT_TOKENS) -> DataFrame:
         return x.groupBy("session_id").applyInPandas(replay, _MOVES)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, hot = [], Hot(limit=limit)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        hot = Hot(limit=limit)
         if state.exists:
-            seen, ids, tokens, relevance, at, accesses = state.get
+            ids, tokens, relevance, at, accesses = state.get
             hot = Hot(list(zip(relevance, at, ids, tokens, accesses)), limit)
-        seen, known, rows = list(seen), set(seen), []
+        rows = []
         for r in _ordered(pd.concat(list(batches))).itertuples():
-            if r.id not in known:
-                known.add(r.id)
-                seen.append(r.id)
-                rows += [(key[0], *m) for m in hot.add(r.id, int(r.tokens), float(r.relevance), float(r.at), int(r.accesses))]
+            rows += [(key[0], *m) for m in hot.add(r.id, int(r.tokens), float(r.relevance), float(r.at), int(r.accesses))]
         i = hot.items
-        state.update((seen, [a[2] for a in i], [a[3] for a in i], [a[0] for a in i], [a[1] for a in i], [a[4] for a in i]))
+        state.update(([a[2] for a in i], [a[3] for a in i], [a[0] for a in i], [a[1] for a in i], [a[4] for a in i]))
+        latest = max([state.getCurrentWatermarkMs(), *(int(a * 1000) for a in (x[1] for x in i))])
+        state.setTimeoutTimestamp(latest + idle * 3_600_000)
         yield pd.DataFrame(rows, columns=["session_id", "id", "from_tier", "to_tier"])
 
-    return x.groupBy("session_id").applyInPandasWithState(step, _MOVES, _STATE, "append", GroupStateTimeout.NoTimeout)
+    x = x.withColumn("_t", F.timestamp_seconds("at")).withWatermark("_t", late).dropDuplicatesWithinWatermark(["session_id", "id"])
+    return x.groupBy("session_id").applyInPandasWithState(step, _MOVES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

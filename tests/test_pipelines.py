@@ -95,3 +95,18 @@ def test_checkpoints_and_plans(spark, rows):
     assert rows(agents.latest(got), "id", "step_number") == [("n1", 11), ("n2", 1)]
     steps = spark.createDataFrame([("p", "a", "failed", []), ("p", "b", "pending", ["a"]), ("p", "c", "pending", ["b"]), ("p", "d", "done", []), ("p", "e", "pending", ["d"]), ("p", "f", "pending", ["e"])], "plan_id string, id string, status string, dependencies array<string>")
     assert dict(rows(agents.ready(steps), "id", "next")) == {"a": None, "b": "skip", "c": "skip", "d": None, "e": "run", "f": "wait"}
+
+
+def test_replace_survives_a_failure_between_its_renames(spark, rows, tmp_path):
+    from siftwell import schemas
+    from siftwell.store import Store
+
+    store = Store(spark, str(tmp_path / "store"))
+    one = spark.createDataFrame([("a", "n", "active", None, None, None, None)], schemas.SESSIONS)
+    store.append("sessions", "p", one)
+    store.replace("sessions", "p", store.read("sessions", "p").unionByName(one.withColumn("id", one.name)))
+    assert rows(store.read("sessions", "p"), "id") == [("a",), ("n",)]
+    folder = tmp_path / "store/sessions"
+    (folder / "project_id=p").rename(folder / "_old-p")  # stopped after the first rename
+    assert rows(store.read("sessions", "p"), "id") == [("a",), ("n",)]
+    assert store.projects() == ["p"]
