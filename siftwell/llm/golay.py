@@ -32,7 +32,7 @@ from siftwell.runtime import balanced, materialize
 #: Generator polynomial of the code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
 #: Windows of a fingerprint, segments of a window, words of a segment.
-WINDOWS, PARTS, RUN = 7, 3, 3
+WINDOWS, PARTS, RUN = 6, 3, 3
 #: Words hashed at once.
 STRIP = 1 << 19
 _WORD = re.compile(r"[^\W_]+")
