@@ -97,3 +97,13 @@ def test_ways_of_a_gigabyte_are_walked_in_one_pass(spark, rows, monkeypatch):
     got = G.distances(edges, starts, "both", 2).groupBy("start", "depth").count()
     # s0 leads to the hub and to t1 to t4, s1 to t5 to t9; the hub is reached by 220,000 sources, each t by 2,200 others
     assert rows(got) == [("gone", 0, 1), ("s0", 0, 1), ("s0", 1, 5), ("s0", 2, 219_999), ("s1", 0, 1), ("s1", 1, 5), ("s1", 2, 2_199)]
+
+
+def test_far_nodes_of_over_a_million_ways_are_reached_in_one_pass(spark, rows, monkeypatch):
+    """Of a gigabyte's relationships 1.02 million are of the types walked; hop by hop, all that was met lay on disk several times."""
+    monkeypatch.setattr(G, "_hops", None)
+    i = F.col("id")
+    ends = [F.concat(F.lit("c"), F.least(i, F.lit(50))).alias("source_id"), F.when(i < 50, F.concat(F.lit("c"), i + 1)).otherwise(F.concat(F.lit("t"), i)).alias("target_id")]
+    edges = spark.range(1_100_000).select(i.cast("string").alias("id"), *ends, F.lit(1.0).alias("weight"))
+    got = G.reachable(edges, spark.createDataFrame([("c0",), ("c49",), ("t60",)], "node string"))
+    assert rows(got.groupBy("start").agg(F.count("*"), F.countDistinct("node"), F.max("depth"))) == [("c0", 1_100_000, 1_100_000, 51), ("c49", 1_099_951, 1_099_951, 2)]
