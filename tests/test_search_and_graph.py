@@ -107,3 +107,29 @@ def test_far_nodes_of_over_a_million_ways_are_reached_in_one_pass(spark, rows, m
     edges = spark.range(1_100_000).select(i.cast("string").alias("id"), *ends, F.lit(1.0).alias("weight"))
     got = G.reachable(edges, spark.createDataFrame([("c0",), ("c49",), ("t60",)], "node string"))
     assert rows(got.groupBy("start").agg(F.count("*"), F.countDistinct("node"), F.max("depth"))) == [("c0", 1_100_000, 1_100_000, 51), ("c49", 1_099_951, 1_099_951, 2)]
+
+
+@pytest.mark.parametrize("size", [1, 7, 100])
+def test_goals_of_a_start_share_one_search(monkeypatch, size):
+    g, searches = ways_of([(i, i + 1) for i in range(99)] + [(0, 50)]), []
+    levels = g.levels
+    monkeypatch.setattr(g, "levels", lambda start: searches.append(start) or levels(start))
+    monkeypatch.setattr(G, "_gathered", lambda batches: map(pa.Table.from_batches, ([b] for b in batches)))
+    pairs = pa.table({"start": ["n00"] * 100 + ["n98"] * 3 + ["gone"] * 2, "goal": [f"n{i:02}" for i in range(100)] + ["n99", "n00", "gone"] + ["n00", "gone"]})
+    got = [r for b in G.paths(g, pairs.to_batches(size)) for r in b.to_pylist()]
+    assert searches == [0, 98]
+    assert {r["goal"]: len(r["path"]) - 1 for r in got if r["start"] == "n00"} == {f"n{i:02}": i if i < 50 else i - 49 for i in range(100)}
+    assert [r["path"] for r in got if r["goal"] == "n52"] == [["n00", "n50", "n51", "n52"]]
+    assert sorted((r["start"], r["path"]) for r in got if r["start"] != "n00") == [("gone", ["gone"]), ("n98", ["n98", "n99"])]
+
+
+def test_paths_of_over_a_million_ways_in_one_pass(spark, rows, monkeypatch):
+    """All of a gigabyte's 2.4 million relationships are walked; the rows met, hop by hop, filled the disk."""
+    monkeypatch.setattr(G, "_path_hops", None)
+    i = F.col("id")
+    ends = [F.concat(F.lit("c"), F.least(i, F.lit(50))).alias("source_id"), F.when(i < 50, F.concat(F.lit("c"), i + 1)).otherwise(F.concat(F.lit("t"), i)).alias("target_id")]
+    edges = spark.range(1_100_000).select(i.cast("string").alias("id"), *ends, F.lit(1.0).alias("weight"))
+    pairs = spark.createDataFrame([("c0", "t1000000"), ("c0", "c9"), ("c49", "t77"), ("t77", "c0"), ("c49", "c0")], "start string, goal string")
+    got = G.shortest_path(edges, pairs)
+    assert rows(got, "start", "goal", "length") == [("c0", "c9", 9), ("c0", "t1000000", 51), ("c49", "t77", 2)]
+    assert rows(got.where("start = 'c49'"), "path") == [(["c49", "c50", "t77"],)]
