@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftwell.operators import graph as G
 from siftwell.operators import search
 from siftwell.operators.index import Index
+from siftwell.plans import graph_queries
 
 
 def random_graph(spark, nodes=40, ways=110, seed=3):
@@ -109,6 +110,36 @@ def test_far_nodes_of_over_a_million_ways_are_reached_in_one_pass(spark, rows, m
     assert rows(got.groupBy("start").agg(F.count("*"), F.countDistinct("node"), F.max("depth"))) == [("c0", 1_100_000, 1_100_000, 51), ("c49", 1_099_951, 1_099_951, 2)]
 
 
+def test_stored_rows_of_nodes_that_all_starts_reach_are_small(spark, tmp_path, monkeypatch):
+    """Stored, the rows of a gigabyte filled the disk: an id of 16 characters in each, as no dictionary holds all nodes."""
+    n, name = 60_000, lambda c: F.substring(F.md5(c.cast("string")), 1, 16)
+    i = F.col("id")
+    ways = spark.range(2 * n).select(i.cast("string").alias("id"), name((i / 2).cast("long")).alias("source_id"), name(i % n).alias("target_id"), F.lit("USES").alias("relationship"), F.lit(1.0).alias("weight"))
+    ways.write.parquet(str(tmp_path / "relationships.parquet"))
+    monkeypatch.setattr(graph_queries, "starts", lambda spark, d: spark.range(50).select(F.when(i < 40, name(i * 31)).otherwise(F.concat(F.lit("gone"), i)).alias("node")))
+    graph_queries.graph_reachable(spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    each = got.groupBy("start").agg(F.count("*").alias("n"), F.countDistinct("node").alias("k"), F.max(F.expr("start = node")).alias("own")).collect()
+    assert len(each) == 40 and {(r.n, r.k, r.own) for r in each} == {(n - 1, n - 1, False)}
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 2 * got.count()
+
+
+@pytest.mark.parametrize("sets,turn,least", [(1, 2, 1), (16, 256, 1 << 21)])
+def test_nodes_reached_by_shared_sets_are_those_reached_by_each_start(spark, rows, monkeypatch, sets, turn, least):
+    data = [(f"e{i}", f"{part}{a % 30}", f"{part}{b % 30}", "uses", 1.0) for part in "xy" for i, (a, b) in enumerate([(k, k * k + 1) for k in range(30)] + [(3, 3), (5, 4), (9, 5)])]
+    edges = spark.createDataFrame([(f"{d[1]}{d[0]}", *d[1:]) for d in data], "id string, source_id string, target_id string, relationship string, weight double")
+    starts = spark.createDataFrame([(f"{part}{k}",) for part in "xyz" for k in range(30)] + [("x3",), (None,)], "node string")
+    for k, v in {"SETS": sets, "TURN": turn, "WIDTH": 4, "ROWS": (least, 1 << 24)}.items():
+        monkeypatch.setattr(G, k, v)
+    for direction in ("out", "both"):
+        want = rows(G.reachable(edges, starts, direction), "start", "node")
+        assert rows(G.reached(edges, starts, direction), "start", "node") == want and len(want) > 100
+    monkeypatch.setattr(G, "SMALL", 0)
+    assert rows(G.reached(edges, starts, "both"), "start", "node") == want
+    none = edges.where("id = ''")
+    assert rows(G.reached(none, starts)) == []
+
+
 @pytest.mark.parametrize("size", [1, 7, 100])
 def test_goals_of_a_start_share_one_search(monkeypatch, size):
     g, searches = ways_of([(i, i + 1) for i in range(99)] + [(0, 50)]), []
